@@ -106,7 +106,7 @@ def _off(v: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
 def phase_space_spikes(seg: np.ndarray, t: np.ndarray, v: np.ndarray, bad: np.ndarray, sigma: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Candidates among the readings of many sources (seg ascending, t ascending within it), and what they were judged by.
 
-    bad: readings known to be wrong. sigma: scatter of each segment where known.
+    bad: readings known to be wrong, which neither make a level nor count for the scatter. sigma: scatter of each segment where known.
     Returns candidate, before, after by reading and sigma by segment.
     """
     n_seg = int(seg[-1]) + 1
@@ -148,7 +148,11 @@ def phase_space_spikes(seg: np.ndarray, t: np.ndarray, v: np.ndarray, bad: np.nd
             break
         out = new
     before, after, around = levels(side, v, out)
-    return {"candidate": out, "before": before, "after": after, "sigma": sigma}
+    alone = np.isnan(before) & np.isnan(after)
+    if alone.any():  # too few others between two pauses: the level beyond the pauses must do
+        far_before, far_after, _ = levels(seg, v, out)
+        before, after = np.where(alone, far_before, before), np.where(alone, far_after, after)
+    return {"candidate": out | alone, "before": before, "after": after, "sigma": sigma}
 
 
 def stuck_runs(seg: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -202,12 +206,13 @@ def judge(t: pa.Table, keys: list[str]) -> tuple[pa.Table, dict[str, np.ndarray]
     known = None
     if "sigma" in t.column_names:
         known = t["sigma"].to_numpy(zero_copy_only=False).astype(float)[np.searchsorted(seg, np.arange(seg[-1] + 1))]
-    got = phase_space_spikes(s1, at[first], v1, beyond[first], known)
+    runs = stuck_runs(s1, v1)
+    got = phase_space_spikes(s1, at[first], v1, beyond[first] | runs, known)
     off = np.abs(_off(v, got["before"][of], got["after"][of]))
     apart = off > APART * got["sigma"][seg]
     # Another reading of the same instant is judged by its own number.
     spike = apart & (got["candidate"][of] | ~first) & (got["sigma"][seg] > 0)
-    stuck = stuck_runs(s1, v1)[of] & (v == v1[of])
+    stuck = runs[of] & (v == v1[of])
     return t, {"is_spike": spike, "is_stuck": stuck, "seg": seg, "sigma": got["sigma"]}
 
 
