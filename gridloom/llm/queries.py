@@ -5,13 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import level
+from gridloom.llm import clusters, level
 from gridloom.llm import mix as mixing
 from gridloom.llm import tokens
 from gridloom.runtime import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = clusters.cluster_records(table(spark, folder, "sysembeddings"))
+    return found.where("size >= 5").select("cluster_id", F.col("id").alias("record_id"))
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "sysembeddings")
+    return clusters.describe_clusters(rows, clusters.cluster_records(rows))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
@@ -37,6 +48,6 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
     return level.reading_levels(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}
 
 SQL: dict[str, str] = {}
