@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import clusters, level
 from gridloom.llm import mix as mixing
-from gridloom.llm import tokens
+from gridloom.llm import neighbours, tokens
 from gridloom.runtime import table
 
 
@@ -23,6 +23,14 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.describe_clusters(rows, clusters.cluster_records(rows))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.pairs(p7_neighbours(spark, folder))
+
+
+def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "sysembeddings"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
@@ -48,6 +56,6 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
     return level.reading_levels(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}
 
 SQL: dict[str, str] = {}
