@@ -97,6 +97,31 @@ def levels(side: np.ndarray, v: np.ndarray, out: np.ndarray) -> tuple[np.ndarray
     return _row_medians(before, 3), _row_medians(after, 3), _row_medians(np.concatenate((before, after), axis=1), 5)
 
 
+def new_levels(side: np.ndarray, v: np.ndarray, out: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Where a lasting change of level begins: AROUND readings on either side differ by more than APART scatters.
+
+    Of neighbouring places that would do, the one that leaves the least (each reading counts up to APART scatters).
+    """
+    w = AROUND
+    x = np.concatenate((np.full(w, np.nan), np.where(out, np.nan, v), np.full(w, np.nan)))
+    d = np.concatenate((np.full(w, -1), side, np.full(w, -1)))
+    win = np.lib.stride_tricks.sliding_window_view
+    a, b = win(x, w), win(d, w)
+    n = len(v)
+    before, after = np.where(b[:n] == side[:, None], a[:n], np.nan), np.where(b[w : n + w] == side[:, None], a[w : n + w], np.nan)
+    low, high = _row_medians(before, 5), _row_medians(after, 5)
+    found = np.zeros(n, bool)
+    at = np.nonzero(np.abs(high - low) > APART * np.where(sigma > 0, sigma, np.inf))[0]
+    if len(at):
+        most = APART * sigma[at][:, None]
+        cost = np.nansum(np.minimum(np.abs(before[at] - low[at][:, None]), most), axis=1) + np.nansum(np.minimum(np.abs(after[at] - high[at][:, None]), most), axis=1)
+        first = np.concatenate(([True], (np.diff(at) > 1) | (side[at[1:]] != side[at[:-1]])))
+        run = np.cumsum(first) - 1
+        order = np.lexsort((at, np.round(cost / most[:, 0], 6), run))
+        found[at[order[np.concatenate(([True], np.diff(run[order]) > 0))]]] = True
+    return found
+
+
 def _off(v: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """How far v is off the nearer of the two levels; nan without a level."""
     a, b = v - before, v - after
@@ -147,6 +172,10 @@ def phase_space_spikes(seg: np.ndarray, t: np.ndarray, v: np.ndarray, bad: np.nd
         if (new == out).all():
             break
         out = new
+    # Levels are those of a reading's own side of any lasting change.
+    side = np.cumsum(np.concatenate(([0], np.diff(side))) + new_levels(side, v, out, sigma[seg]))
+    before, after, around = levels(side, v, out)
+    out = out | (np.abs(_off(v, before, after)) > APART * np.where(sigma > 0, sigma, np.inf)[seg])
     before, after, around = levels(side, v, out)
     alone = np.isnan(before) & np.isnan(after)
     if alone.any():  # too few others between two pauses: the level beyond the pauses must do

@@ -20,6 +20,8 @@ from gridloom.runtime import hot_groups, materialize
 #: Histories of more rows are split into leaf blocks of this size or the root of their length, if that is more:
 #: then neither a block nor the number of blocks of one attribute gets large.
 BLOCK_ROWS = 64
+#: Rounds of merging between two written tables; within them Spark reuses the exchange of each round.
+ROUNDS_A_JOB = 3
 
 
 def _blocked(log: DataFrame, steps: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
@@ -85,12 +87,14 @@ def runs(units: DataFrame, keys: list[str], at: str, payload: str, block: str, b
         .groupBy(*keys, "block")
         .agg(F.min_by(run, "from_at").alias("head"), F.max_by(run, "from_at").alias("tail"))
     )
-    for _ in range(math.ceil(math.log2(blocks))):
+    for k in range(math.ceil(math.log2(blocks))):
         pair = (
             edges.groupBy(*keys, F.shiftright("block", 1).alias("block"))
             .agg(F.min_by(F.struct("head", "tail"), "block").alias("a"), F.max_by(F.struct("head", "tail"), "block").alias("b"), F.count(F.lit(1)).alias("parts"))
         )
-        pair = materialize(pair.select(*keys, "block", "parts", F.expr(_merge()).alias("m")), "merged-runs")
+        pair = pair.select(*keys, "block", F.expr(_merge()).alias("m"))
+        if k % ROUNDS_A_JOB == ROUNDS_A_JOB - 1:
+            pair = materialize(pair, "merged-runs")
         done.append(pair.select(*keys, F.explode("m.closed").alias("c")).select(*keys, "c.from_at", "c.to_at", "c.payload"))
         edges = pair.select(*keys, "block", "m.head", "m.tail")
     top = edges.select(*keys, F.explode(F.expr("IF(head.from_at = tail.from_at, array(tail), array(head, tail))")).alias("c"))
