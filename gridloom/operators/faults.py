@@ -100,7 +100,7 @@ def levels(side: np.ndarray, v: np.ndarray, out: np.ndarray) -> tuple[np.ndarray
 def new_levels(side: np.ndarray, v: np.ndarray, out: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     """Where a lasting change of level begins: AROUND readings on either side differ by more than APART scatters.
 
-    Of neighbouring places that would do, the one that leaves the least (each reading counts up to APART scatters).
+    Of neighbouring places that part the levels at all, the one that leaves the least (each reading counts up to APART scatters).
     """
     w = AROUND
     x = np.concatenate((np.full(w, np.nan), np.where(out, np.nan, v), np.full(w, np.nan)))
@@ -111,14 +111,16 @@ def new_levels(side: np.ndarray, v: np.ndarray, out: np.ndarray, sigma: np.ndarr
     before, after = np.where(b[:n] == side[:, None], a[:n], np.nan), np.where(b[w : n + w] == side[:, None], a[w : n + w], np.nan)
     low, high = _row_medians(before, 5), _row_medians(after, 5)
     found = np.zeros(n, bool)
-    at = np.nonzero(np.abs(high - low) > APART * np.where(sigma > 0, sigma, np.inf))[0]
+    step = np.nan_to_num(np.abs(high - low)) / np.where(sigma > 0, sigma, np.inf)
+    at = np.nonzero(step > APART / 2)[0]
     if len(at):
         most = APART * sigma[at][:, None]
         cost = np.nansum(np.minimum(np.abs(before[at] - low[at][:, None]), most), axis=1) + np.nansum(np.minimum(np.abs(after[at] - high[at][:, None]), most), axis=1)
         first = np.concatenate(([True], (np.diff(at) > 1) | (side[at[1:]] != side[at[:-1]])))
         run = np.cumsum(first) - 1
         order = np.lexsort((at, np.round(cost / most[:, 0], 6), run))
-        found[at[order[np.concatenate(([True], np.diff(run[order]) > 0))]]] = True
+        best = at[order[np.concatenate(([True], np.diff(run[order]) > 0))]]
+        found[best[np.maximum.reduceat(step[at], np.nonzero(first)[0]) > APART]] = True
     return found
 
 
