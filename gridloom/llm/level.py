@@ -14,6 +14,7 @@ from statistics import median
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.llm.prose import passages, text_cells
 
@@ -169,5 +170,5 @@ def reading_levels(documents: DataFrame, key: str = "doc_id", min_words: int = M
                 n, lang, g, no = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, s.column(0).type), pa.array(n, pa.int32()), pa.array(lang, pa.string()), pa.array(g, pa.float64()), pa.array(no, pa.int32())], ["key", "words", "language", "grade", "level_no"])
 
-    out = documents.select(key, "text", "nb_format", "lang").mapInArrow(run, f"key {kind}, words int, language string, grade double, level_no int")
+    out = documents.select(key, *[F.make_valid_utf8(c).alias(c) for c in ("text", "nb_format", "lang")]).mapInArrow(run, f"key {kind}, words int, language string, grade double, level_no int")
     return out.withColumnRenamed("key", key)

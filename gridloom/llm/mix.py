@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from gridloom.runtime import materialize
 
-#: Tokens a block should hold. A source has MIN_BLOCKS to MAX_BLOCKS of them: with the number of sources, the bound of all
+#: Tokens a block should hold: a hundredth of a shard, so that shards are alike. A source has MIN_BLOCKS to MAX_BLOCKS of them: with the number of sources, the bound of all
 #: that the driver holds.
-BLOCK_TOKENS, MIN_BLOCKS, MAX_BLOCKS = 200_000, 16, 16_384
+BLOCK_TOKENS, MIN_BLOCKS, MAX_BLOCKS = 20_000, 16, 16_384
 #: Tokens an output shard should hold; there are at most MAX_SHARDS.
 SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4_096
 #: Listed sources, at most; more are refused, as their plan is made on the driver.

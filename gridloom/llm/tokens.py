@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Where the vocabulary files lie on every machine.
 FOLDER = "/opt/tokenizers"
@@ -97,6 +98,8 @@ def _lists(texts: list[str | None], e: tiktoken.Encoding) -> pa.ListArray:
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, name: str = TOKENIZER) -> DataFrame:
     """One row per document: key, ids (array of int). Null and empty texts both give an empty list.
 
+    Bytes that are no UTF-8 count as U+FFFD, as Spark makes them.
+
     Repeated rows each give a row; an empty table gives none. Only key and text are read, nothing is shuffled.
     """
     kind = documents.schema[key].dataType.simpleString()
@@ -108,7 +111,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", fol
                 s = b.slice(i, _ROWS)
                 yield pa.RecordBatch.from_arrays([s.column(0), _lists(s.column(1).to_pylist(), e)], ["key", "ids"])
 
-    return documents.select(key, text).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return documents.select(key, F.make_valid_utf8(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def token_counts(documents: DataFrame, keep: list[str], text: str = "text", folder: str = FOLDER, name: str = TOKENIZER) -> DataFrame:
@@ -121,7 +124,7 @@ def token_counts(documents: DataFrame, keep: list[str], text: str = "text", fold
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
     fields = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
-    return documents.select(*keep, text).mapInArrow(run, f"{fields}, n_tokens bigint")
+    return documents.select(*keep, F.make_valid_utf8(text).alias("a text")).mapInArrow(run, f"{fields}, n_tokens bigint")
 
 
 def token_texts(ids: DataFrame, key: str = "doc_id", folder: str = FOLDER, name: str = TOKENIZER) -> DataFrame:
