@@ -20,8 +20,8 @@ from gridloom.runtime import materialize
 
 NEAREST, LEAST = 5, 0.70
 #: Independent partitions; relaxation between shards and within a tree.
-PARTITIONS, SHARD_FACTOR, TREE_FACTOR = 4, 150.0, 8.0
-LEAF = 192
+PARTITIONS, SHARD_FACTOR, TREE_FACTOR = 5, 150.0, 4.0
+LEAF = 256
 #: Candidates kept in single precision beyond those wanted, to be ordered in double precision.
 SPARE = 4
 _BLOCK = 1_024

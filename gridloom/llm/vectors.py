@@ -25,7 +25,7 @@ CELL, MAX_PIVOTS = 256, 8_192
 #: Vectors in one task at once; cells expected to be larger are split into parts, all pairs of which are looked at.
 MAX_CELL = 20_000
 #: Vectors the expected sizes of cells are estimated from.
-SIZE_SAMPLE = 20_000
+SIZE_SAMPLE = 8_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
