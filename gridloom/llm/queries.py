@@ -58,4 +58,21 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}
 
-SQL: dict[str, str] = {}
+_VECTORS = """
+vectors AS (
+    SELECT DISTINCT ON (id) id, table_name, entity_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v
+    FROM sysembeddings WHERE id IS NOT NULL AND len(embedding) = 384
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+#: Quadratic: for small data only. Token ids, mixes and reading levels are beyond SQL.
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE {_VECTORS},
+        links AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.table_name = b.table_name AND list_dot_product(a.v, b.v) >= 0.70),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT min(b) AS cluster_id, a AS record_id FROM reach GROUP BY a HAVING count(*) >= 5""",
+    "p7_found": f"""WITH {_VECTORS},
+        near AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 6) AS c FROM vectors a JOIN vectors b
+            ON (a.table_name, a.entity_id) IS DISTINCT FROM (b.table_name, b.entity_id)),
+        best AS (SELECT a, b FROM near WHERE c >= 0.70 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+        SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best""",
+}
