@@ -5,12 +5,15 @@ Readings are the events of a user; two states of a table are the last event per
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import codecs
+from gridloom.functions.text import fold_guid
 from gridloom.operators import diff, integrity, render, search, series
 from gridloom.options import Interpolation, StepType
 from gridloom.plans import program as programs
@@ -171,7 +174,7 @@ def ts_interp_none(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def ts_dsl(spark: SparkSession, folder: str) -> DataFrame:
     got = series.read_expression(_observations(spark, folder), "events,13,value,2024-01-02,2024-01-25,01:00:00,Previous")
-    return got.select("Timestamp", F.round(F.col("Value").cast("double"), 1).alias("value")).select(F.col("Timestamp").alias("ts"), "value")
+    return got.select(F.col("Timestamp").alias("ts"), F.col("Value").cast("double").alias("value"))
 
 
 @_query
@@ -180,6 +183,25 @@ def ts_dsl_raw(spark: SparkSession, folder: str) -> DataFrame:
     return got.select(F.col("Timestamp").alias("ts"), F.col("Value").cast("double").alias("value"))
 
 
+@_query
+def ts_delta_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """The store's deltas packed and unpacked: bytes taken, and what came back."""
+    d = table(spark, folder, "systimeseriesdeltas").select("id", "deltas", codecs.pack_deltas(F.col("deltas")).alias("packed"))
+    back = d.select("id", "deltas", F.length("packed").cast("bigint").alias("n_bytes"), codecs.unpack_deltas(F.col("packed")).alias("back"))
+    return back.groupBy(F.col("deltas").eqNullSafe(F.col("back")).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes"))
+
+
+@_query
+def ts_delta_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations of the store's own base values and deltas, per table and property."""
+    base = table(spark, folder, "systimeseriesbasevalues").dropDuplicates(["id"])
+    delta = table(spark, folder, "systimeseriesdeltas").dropDuplicates(["id"]).where("base_value_id IS NOT NULL")
+    rows = base.join(delta.select(F.lower("base_value_id").alias("k"), F.lit(0).cast("bigint").alias("StartMs"), F.col("deltas").alias("Deltas")), F.lower("id") == F.col("k"))
+    rows = rows.select("table_name", F.substring_index("property_name", ".", 1).alias("property_name"), F.col("reading_value").alias("Value"), F.col("reading_timestamp").alias("BaseTimestamp"), "StartMs", "Deltas")
+    got = series.decode(rows, ["table_name", "property_name"])
+    return got.groupBy("table_name", "property_name").agg(F.count(F.lit(1)).alias("n"), F.max("Timestamp").alias("last"))
+
+
 # changes
 
 
@@ -353,6 +375,12 @@ def vec_put_remove(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("EntityId").alias("vec_id"), F.round(F.col("Embedding")[0].cast("double"), 5).alias("first"))
 
 
+@_query
+def vec_codec(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "embeddings").select("vec_id", "embedding", codecs.pack_vector(F.col("embedding")).alias("b"))
+    return v.select("vec_id", F.length("b").cast("bigint").alias("n_bytes"), (codecs.unpack_vector(F.col("b")) == F.col("embedding")).alias("same"))
+
+
 # programs
 
 
@@ -414,8 +442,6 @@ def prog_export(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def prog_step_join(spark: SparkSession, folder: str) -> DataFrame:
     """Programs of the store with their steps in order."""
-    from gridloom.functions.text import fold_guid
-
     heads = table(spark, folder, "sysanalytics").groupBy(fold_guid(F.col("id")).alias("id")).agg(F.min("program_name").alias("program_name"))
     steps = table(spark, folder, "sysanalyticssteps").dropDuplicates(["id"]).select(fold_guid(F.col("analytics_id")).alias("id"), "step_order", "operation")
     return heads.join(steps, "id").groupBy("id", "program_name").agg(F.count(F.lit(1)).alias("n_steps"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_order", "operation"))), lambda x: x["operation"]), ",").alias("operations"))
@@ -449,8 +475,6 @@ def trigger_throttle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, label: str) -> str:
-    import uuid
-
     return f"{shared_folder(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
 
 

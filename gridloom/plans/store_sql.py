@@ -60,6 +60,19 @@ SQL = {
     "ts_interp_next": _interpolated("nv"),
     "ts_interp_none": """SELECT user_id::VARCHAR AS entity_id, date_trunc('minute', ts)::TIMESTAMP AS ts, arg_min(value, event_id) AS value FROM events
         WHERE date_trunc('minute', ts) BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31' AND minute(ts) % 15 = 0 GROUP BY 1, 2""",
+    "ts_delta_codec": """SELECT true AS same, count(*) AS n, sum(list_sum(list_transform(deltas, lambda d: 1 + greatest(1, ceil(log2(abs(d) + 1) / 7)))))::BIGINT AS n_bytes FROM systimeseriesdeltas""",
+    "ts_delta_read": """WITH b AS (SELECT DISTINCT lower(id) AS k, table_name, split_part(property_name, '.', 1) AS property_name, reading_timestamp FROM systimeseriesbasevalues),
+        d AS (SELECT DISTINCT id, lower(base_value_id) AS k, deltas FROM systimeseriesdeltas WHERE base_value_id IS NOT NULL),
+        o AS (SELECT table_name, property_name, reading_timestamp, deltas, unnest(generate_series(1, len(deltas))) AS i FROM b JOIN d USING (k))
+        SELECT table_name, property_name, count(*) AS n, max(reading_timestamp + to_milliseconds(list_sum(deltas[1:i])::BIGINT)) AS last FROM o GROUP BY ALL""",
+    "vec_codec": "SELECT vec_id, 256::BIGINT AS n_bytes, true AS same FROM embeddings",
+    "ts_dsl": """WITH g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-25', INTERVAL '1 hour')) AS ts),
+        s AS (SELECT ts AS at, value FROM events WHERE user_id = 13 AND ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-25')
+        SELECT ts, round(value, 2) AS value FROM g ASOF JOIN s ON g.ts >= s.at""",
+    "trigger_throttle": """WITH RECURSIVE e AS (SELECT DISTINCT event_type, date_trunc('minute', ts)::TIMESTAMP AS ts FROM events),
+        runs AS (SELECT event_type, min(ts) AS t FROM e GROUP BY 1
+            UNION ALL SELECT r.event_type, min(e.ts) FROM runs r JOIN e ON e.event_type = r.event_type AND e.ts >= r.t + INTERVAL '6 hours' GROUP BY 1)
+        SELECT event_type AS AnalyticsId, count(*) AS runs, max(t) AS last_run FROM runs GROUP BY 1""",
     "ts_dsl_raw": "SELECT ts, value FROM events WHERE user_id = 13 AND ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-25'",
     "cdc_log": f"""WITH {_PAIRS} SELECT EntityId, 'props' AS PropertyName, kind AS ChangeType, 'System' AS ChangedBy, to_json(op)::VARCHAR AS OriginalValue, to_json(np)::VARCHAR AS NewValue,
         TIMESTAMP '2024-01-22' AS ChangedAt FROM pairs WHERE op IS DISTINCT FROM np""",

@@ -210,7 +210,7 @@ def test_interpreter(spark):
     assert run(spark, [Step(StepType.VARIABLE, "1", "x"), Step(StepType.CONDITION, "{x} > 1", "1")], none) == "False"
     with pytest.raises(ValueError, match="must return a boolean"):
         run(spark, [Step(StepType.VARIABLE, "1", "x"), Step(StepType.CONDITION, "1", "1")], none)
-    with pytest.raises(ValueError, match="Only SELECT|Invalid"):
+    with pytest.raises(ValueError, match="Only SELECT|Invalid|not allowed"):
         run(spark, [Step(StepType.SCRIPT, "1; DROP TABLE x", "y")], none)
     with pytest.raises(ValueError, match="Missing parameter"):
         run(spark, [Step(StepType.SERIES, "T,{who},p,2025-01-01,2025-01-02", "y")], none)
