@@ -25,13 +25,15 @@ LEAF = 256
 #: Candidates kept in single precision beyond those wanted, to be ordered in double precision.
 SPARE = 4
 _BLOCK = 1_024
+#: In place of an owner: nobody's.
+_NOBODY = -2
 _RANKS = 10_000_000
 
 
 class VantageTree:
     """A vantage-point tree over unit vectors (float32), searched for many queries at once.
 
-    `owner` numbers what a vector belongs to; a query leaves out its own owner's vectors (-1: none). Vectors are given in
+    `owner` numbers what a vector belongs to; a query leaves out its own owner's vectors. Vectors are given in
     order of their names: among equal similarities (six decimals) the earlier one is nearer.
     """
 
@@ -131,26 +133,40 @@ def _search(k: int, least: float, tree_factor: float):
             count = np.diff(items.offsets.to_numpy())
             flat = items.flatten()
             names, owners = np.array(flat.field("name").to_pylist(), object), flat.field("owner").to_numpy()
+            first = np.cumsum(count) - count
             row = np.repeat(np.arange(len(x)), count)
-            lives = t["lives"].to_numpy(zero_copy_only=False)
-            # The tree: what lives here, by name.
-            mine = np.nonzero(lives[row])[0]
+            rank = np.argsort(np.argsort(names.astype(str), kind="stable"))
+            more = t["more"].to_numpy(zero_copy_only=False)
+            # A point is left out for an owner only if all its copies are that owner's.
+            low, high = np.minimum.reduceat(owners, first), np.maximum.reduceat(owners, first)
+            sole = np.where((low == high) & ~more, low, _NOBODY)
+            # The tree: the points that live here, by their first names.
+            mine = np.nonzero(t["lives"].to_numpy(zero_copy_only=False))[0]
             if not len(mine):
                 continue
-            mine = mine[np.argsort(names[mine].astype(str), kind="stable")]
-            tree = VantageTree(x[row[mine]], owners[mine], tree_factor)
-            # Queries: each vector once per owner of its first copies, and once for all further owners.
+            mine = mine[np.argsort(rank[first[mine]])]
+            tree = VantageTree(x[mine], sole[mine], tree_factor)
+            codes = t["code"].combine_chunks()
+            # Queries: each point once per owner of its first copies, and once for all further owners.
             pair = np.unique(np.stack((row, owners), axis=1), axis=0)
-            more = np.nonzero(t["more"].to_numpy(zero_copy_only=False))[0]
-            for of, own, want, other in ((pair[:, 0], pair[:, 1], k, False), (more, np.full(len(more), -1), 2 * k, True)):
-                if not len(of):
-                    continue
+            rest = np.nonzero(more)[0]
+            for of, own, want, other in ((pair[:, 0], pair[:, 1], k, False), (rest, np.full(len(rest), -1), 2 * k, True)):
                 for i in range(0, len(of), 8 * _BLOCK):
                     o, e = of[i : i + 8 * _BLOCK], own[i : i + 8 * _BLOCK]
-                    pos, sim = tree.search(x[o], np.where(other, -2, e), want, least)
+                    pos, sim = tree.search(x[o], np.full(len(o), _NOBODY - 1) if other else e, want + 2, least)
                     q, c = np.nonzero(pos >= 0)
-                    hit = mine[pos[q, c]]
-                    yield pa.RecordBatch.from_arrays([t["code"].combine_chunks().take(pa.array(o[q])), pa.array(e[q]), pa.array(np.full(len(q), other)), pa.array(names[hit].tolist(), pa.string()), pa.array(owners[hit]), pa.array(sim[q, c])], ["code", "owner", "other", "name", "name_owner", "cosine"])
+                    point = mine[pos[q, c]]
+                    # The points' copies, nearest first, ties by name.
+                    n = count[point]
+                    at = np.repeat(first[point] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    q, s = np.repeat(q, n), np.repeat(sim[q, c], n)
+                    good = np.full(len(at), True) if other else owners[at] != e[q]
+                    q, s, at = q[good], s[good], at[good]
+                    order = np.lexsort((rank[at], -s, q))
+                    q, s, at = q[order], s[order], at[order]
+                    keep = np.arange(len(q)) - np.searchsorted(q, q) < want
+                    q, s, at = q[keep], s[keep], at[keep]
+                    yield pa.RecordBatch.from_arrays([codes.take(pa.array(o[q])), pa.array(e[q]), pa.array(np.full(len(q), other)), pa.array(names[at].tolist(), pa.string()), pa.array(owners[at]), pa.array(s)], ["code", "owner", "other", "name", "name_owner", "cosine"])
 
     return run
 
