@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,5 +20,10 @@ def instant(column: str) -> Column:
     return F.expr(f"timestampadd(MICROSECOND, {column}, {_ZERO})")
 
 
+def moment(d: datetime) -> Column:
+    """A naive datetime as a `timestamp_ntz`, whatever the zone of the session or the machine."""
+    return F.lit(d.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def text(c: Column, micro: bool = False) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS" if micro else "yyyy-MM-dd HH:mm:ss")

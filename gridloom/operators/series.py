@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.time import micros
+from gridloom.functions.time import micros, moment
 from gridloom.options import Interpolation
 
 KEYS = ["TableName", "EntityId", "PropertyName"]
@@ -120,7 +120,7 @@ def interpolate(samples: DataFrame, keys: list[str], start: datetime, end: datet
     zero = int((start - datetime(1970, 1, 1)) / timedelta(microseconds=1))
     last = int((end - start) / timedelta(microseconds=1)) // us
     t = F.col(ts)
-    inside = samples.where((t >= F.lit(start).cast("timestamp_ntz")) & (t <= F.lit(end).cast("timestamp_ntz")))
+    inside = samples.where((t >= moment(start)) & (t <= moment(end)))
     tie = F.col(order) if order else F.lit(0)
     point = inside.select(*keys, micros(ts).alias("at"), tie.alias("tie"), F.col(value).cast("string").alias("v"))
     point = point.withColumn("cell", F.floor((F.col("at") - zero) / us).cast("long"))
@@ -205,5 +205,5 @@ def read_expression(samples: DataFrame, text: str, compat: bool = False) -> Data
     mine = samples.where((F.col("TableName") == name) & (F.col("EntityId") == entity) & (F.col("PropertyName") == prop))
     if method is Interpolation.NONE:
         t = F.col("Timestamp")
-        return mine.where((t >= F.lit(start).cast("timestamp_ntz")) & (t <= F.lit(end).cast("timestamp_ntz"))).select(*KEYS, "Timestamp", "Value")
+        return mine.where((t >= moment(start)) & (t <= moment(end))).select(*KEYS, "Timestamp", "Value")
     return interpolate(mine, KEYS, start, end, step, method, compat=compat).select(*KEYS, "Timestamp", "Value")

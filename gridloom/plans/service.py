@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridloom.functions.time import moment
 from gridloom.operators import diff, integrity, render, search, series
 from gridloom.options import EngineOptions, Interpolation
 from gridloom.plans import program as programs
@@ -142,7 +143,7 @@ class EntityService:
 
     def series(self, ident: object, column: str, start: dt.datetime, end: dt.datetime) -> DataFrame:
         """Observations of a column with start <= Timestamp <= end, in order of time."""
-        out = self._samples(ident, column).where((F.col("Timestamp") >= F.lit(start).cast("timestamp_ntz")) & (F.col("Timestamp") <= F.lit(end).cast("timestamp_ntz")))
+        out = self._samples(ident, column).where((F.col("Timestamp") >= moment(start)) & (F.col("Timestamp") <= moment(end)))
         return out.select("Timestamp", "Value").orderBy("Timestamp", "Value")
 
     def interpolated(self, ident: object, column: str, start: dt.datetime, end: dt.datetime, step: dt.timedelta, method: Interpolation | str) -> DataFrame:
@@ -211,7 +212,7 @@ class EntityService:
     def _apply(self, old: DataFrame, new: DataFrame) -> int:
         """Commit the change from `old` to `new` rows, then what follows from it, then publish."""
         e, spec, opt = self.engine, self.spec, self.engine.options
-        at = F.lit(e.clock()).cast("timestamp_ntz")
+        at = moment(e.clock())
         pairs = materialize(diff.paired(old, new, spec.key), "changes")
         n = pairs.count()
         if not n:
@@ -357,7 +358,8 @@ class AnalyticsService:
     def _set(self, ident: str, **values: object) -> None:
         def change(d: DataFrame) -> DataFrame:
             mine = F.col("Id") == ident
-            return d.withColumns({k: F.when(mine, F.lit(v).cast(d.schema[k].dataType)).otherwise(F.col(k)) for k, v in values.items()})
+            new = {k: moment(v) if isinstance(v, dt.datetime) else F.lit(v).cast(d.schema[k].dataType) for k, v in values.items()}
+            return d.withColumns({k: F.when(mine, v).otherwise(F.col(k)) for k, v in new.items()})
 
         self.engine.store.change("sysAnalytics", change)
 
