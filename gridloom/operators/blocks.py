@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from gridloom.runtime import hot_groups, materialize
 
 
-def ordered_blocks(df: DataFrame, keys: list[str], at: str, ties: list[str], block_rows: int, margin: int) -> tuple[DataFrame, bool]:
-    """`df` with `block` and `is_margin`, and whether any group was cut.
+def ordered_blocks(df: DataFrame, keys: list[str], at: str, ties: list[str], block_rows: int, margin: int) -> tuple[DataFrame, DataFrame | None]:
+    """`df` with `block` and `is_margin`: the groups that are one block, and those that were cut, if any.
 
     Groups of up to `block_rows` rows are one block. Longer ones are cut into blocks of exactly that many rows in the order
     of (at, ties), where each block also gets the `margin` rows before and after it. Positions come from counts
@@ -19,7 +19,7 @@ def ordered_blocks(df: DataFrame, keys: list[str], at: str, ties: list[str], blo
     long = hot_groups(df, keys, block_rows, *span)
     whole = df.withColumn("block", F.lit(0).cast("long")).withColumn("is_margin", F.lit(False))
     if long is None:
-        return whole, False
+        return whole, None
     long = materialize(long, "long-groups")
     stretch = F.floor((F.col(at) - F.col("from_at")).cast("double") * F.ceil(F.col("group_rows") / block_rows) / (F.col("to_at") - F.col("from_at") + 1))
     rows = df.join(long, keys).withColumn("stretch", stretch.cast("long"))
@@ -35,4 +35,4 @@ def ordered_blocks(df: DataFrame, keys: list[str], at: str, ties: list[str], blo
         lambda x: x.isNotNull(),
     )
     cut = placed.select(*df.columns, F.explode(spread).alias("s")).select(*df.columns, "s.block", "s.is_margin")
-    return whole.join(long.select(*keys), keys, "left_anti").select(*cut.columns).unionByName(cut), True
+    return whole.join(long.select(*keys), keys, "left_anti").select(*cut.columns), cut

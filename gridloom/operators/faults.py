@@ -13,12 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.time import micros
 from gridloom.operators.blocks import ordered_blocks
 from gridloom.operators.grid import SOURCE, usable_readings
+from gridloom.runtime import materialize
 
 #: A spike stands apart by more than so many usual scatters.
 APART = 7.0
@@ -30,8 +31,8 @@ AROUND = 9
 PAUSE_HOURS, PAUSE_STEPS = 3.0, 12.0
 #: Rounds of the search, at most.
 ROUNDS = 5
-#: Sources of more readings are cut into blocks of this many, with a margin of neighbours.
-BLOCK_ROWS, MARGIN = 100_000, 64
+#: Sources of more readings are cut into blocks of this many, with a margin of neighbours: what all rounds of levels reach over.
+BLOCK_ROWS, MARGIN = 100_000, 128
 #: Properties that hold a value by design.
 HELD = ("SetPoint",)
 _CHUNK_ROWS = 200_000
@@ -73,12 +74,13 @@ def _scatter(seg: np.ndarray, n_seg: int, x: np.ndarray) -> np.ndarray:
     return np.where(s > 0, s, mean)
 
 
-def sides(seg: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Ascending numbers of the stretches between pauses; seg is ascending, t ascending within it."""
+def sides(seg: np.ndarray, t: np.ndarray, usual: np.ndarray | None = None) -> np.ndarray:
+    """Ascending numbers of the stretches between pauses; seg is ascending, t ascending within it. usual: each segment's step where known."""
     n_seg = int(seg[-1]) + 1
     step = np.diff(t).astype(float)
     same = seg[1:] == seg[:-1]
-    usual = _by_segment_median(seg[1:][same], n_seg, step[same])
+    if usual is None:
+        usual = _by_segment_median(seg[1:][same], n_seg, step[same])
     part = np.ones(len(seg), bool)
     part[1:] = ~same | ((step > PAUSE_HOURS * 3600e6) & ~(step <= PAUSE_STEPS * usual[seg[1:]]))
     return np.cumsum(part) - 1
@@ -130,33 +132,39 @@ def _off(v: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(b) | (np.abs(a) <= np.abs(b)), a, b)
 
 
-def phase_space_spikes(seg: np.ndarray, t: np.ndarray, v: np.ndarray, bad: np.ndarray, sigma: np.ndarray | None = None) -> dict[str, np.ndarray]:
+def phase_space_spikes(seg: np.ndarray, t: np.ndarray, v: np.ndarray, bad: np.ndarray, known: dict | None = None) -> dict[str, np.ndarray]:
     """Candidates among the readings of many sources (seg ascending, t ascending within it), and what they were judged by.
 
-    bad: readings known to be wrong, which neither make a level nor count for the scatter. sigma: scatter of each segment where known.
+    bad: readings known to be wrong, which neither make a level nor count for the scatter.
     Returns candidate, before, after by reading and sigma by segment.
+
+    known: what holds for the whole sources that the segments are blocks of: `usual` (steps) and for each round `scales`
+    (sigma, s1, s2, turn, n), all by segment. If `open` is set, what the next round's scales come from is returned instead.
     """
     n_seg = int(seg[-1]) + 1
-    side = sides(seg, t)
+    side = sides(seg, t, known and known["usual"])
     out = bad.copy()
-    known = sigma
-    for _ in range(ROUNDS):
+    last = out
+    for i in range(ROUNDS if known is None else len(known["scales"]) + bool(known.get("open"))):
         before, after, around = levels(side, v, out)
-        sigma = _scatter(seg, n_seg, np.where(out, np.nan, v - around))
-        if known is not None:
-            sigma = np.where(np.isfinite(known), known, sigma)
         u = _off(v, before, after)
         u = np.where(np.isnan(u), 0.0, u)
         d1, d2 = np.zeros_like(u), np.zeros_like(u)
         inner = side[2:] == side[:-2]
         d1[1:-1] = np.where(inner, (u[2:] - u[:-2]) / 2, 0)
         d2[1:-1] = np.where(inner, u[2:] - 2 * u[1:-1] + u[:-2], 0)
-        s1, s2 = _scatter(seg, n_seg, np.where(out, np.nan, d1)), _scatter(seg, n_seg, np.where(out, np.nan, d2))
+        off, e1, e2 = (np.where(out, np.nan, x) for x in (v - around, d1, d2))
         good = ~out
-        uu = np.bincount(seg[good], u[good] ** 2, n_seg)
-        turn = np.arctan2(np.bincount(seg[good], (u * d2)[good], n_seg), uu)
-        n = np.maximum(np.bincount(seg, minlength=n_seg), 2)
-        reach = np.sqrt(2 * np.log(n))
+        if known is None:
+            sigma, s1, s2 = (_scatter(seg, n_seg, x) for x in (off, e1, e2))
+            uu = np.bincount(seg[good], u[good] ** 2, n_seg)
+            turn = np.arctan2(np.bincount(seg[good], (u * d2)[good], n_seg), uu)
+            n = np.bincount(seg, minlength=n_seg)
+        elif i == len(known["scales"]):
+            return {"off": off, "d1": e1, "d2": e2, "uu": np.where(good, u**2, 0), "ud": np.where(good, u * d2, 0), "changed": out != last}
+        else:
+            sigma, s1, s2, turn, n = known["scales"][i]
+        reach = np.sqrt(2 * np.log(np.maximum(n, 2)))
         # The ellipse of value and second difference is turned by their usual slope; its axes follow from both scatters.
         c2, w2 = np.cos(turn) ** 2, np.sin(turn) ** 2
         det = c2 * c2 - w2 * w2
@@ -171,9 +179,9 @@ def phase_space_spikes(seg: np.ndarray, t: np.ndarray, v: np.ndarray, bad: np.nd
             # The value's own axis: a burst has small differences inside.
             new |= np.abs(u) > (reach * sigma)[seg]
         new = (new & (np.abs(u) > 3 * sigma[seg])) | bad
-        if (new == out).all():
+        if known is None and (new == out).all():
             break
-        out = new
+        last, out = out, new
     # Levels are those of a reading's own side of any lasting change.
     side = np.cumsum(np.concatenate(([0], np.diff(side))) + new_levels(side, v, out, sigma[seg]))
     before, after, around = levels(side, v, out)
@@ -225,43 +233,158 @@ def _segments(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def judge(t: pa.Table, keys: list[str]) -> tuple[pa.Table, dict[str, np.ndarray]]:
-    """Faults of whole segments in order of (keys, at, received_at, id): a row's is_stuck and is_spike."""
+def judge(t: pa.Table, keys: list[str], known: dict[tuple, dict] | None = None) -> dict[str, np.ndarray]:
+    """Faults of whole segments in order of (keys, at, received_at, id): a row's is_stuck and is_spike.
+
+    known: what holds for the sources that the segments are blocks of (see `phase_space_spikes`), by source.
+    """
     seg = _segments(t, keys)
-    at, v = t["at"].to_numpy(), t["number"].to_numpy()
-    beyond = t["is_beyond"].to_numpy(zero_copy_only=False)
-    first = np.ones(len(seg), bool)  # one reading per instant: the one received first
-    first[1:] = (seg[1:] != seg[:-1]) | (at[1:] != at[:-1])
+    v = t["number"].to_numpy()
+    first, s1, at1, v1, bad, runs = _firsts(t, seg)
     of = np.cumsum(first) - 1
-    s1, v1 = seg[first], v[first]
-    known = None
-    if "sigma" in t.column_names:
-        known = t["sigma"].to_numpy(zero_copy_only=False).astype(float)[np.searchsorted(seg, np.arange(seg[-1] + 1))]
-    runs = stuck_runs(s1, v1)
-    got = phase_space_spikes(s1, at[first], v1, beyond[first] | runs, known)
+    held = None
+    if known is not None:
+        heads = t.take(pa.array(np.searchsorted(seg, np.arange(seg[-1] + 1)))).select(SOURCE).to_pylist()
+        mine = [known[tuple(h.values())] for h in heads]
+        held = {"usual": np.array([k["usual"] for k in mine]), "scales": [np.array(x).T for x in zip(*(k["scales"] for k in mine))]}
+    got = phase_space_spikes(s1, at1, v1, bad, held)
     off = np.abs(_off(v, got["before"][of], got["after"][of]))
     apart = off > APART * got["sigma"][seg]
     # Another reading of the same instant is judged by its own number.
     spike = apart & (got["candidate"][of] | ~first) & (got["sigma"][seg] > 0)
     stuck = runs[of] & (v == v1[of])
-    return t, {"is_spike": spike, "is_stuck": stuck, "seg": seg, "sigma": got["sigma"]}
+    return {"is_spike": spike, "is_stuck": stuck}
+
+
+def _firsts(t: pa.Table, seg: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which rows are the reading of their instant (the one received first); the segment, instant, number of those, whether known to be wrong, whether stuck."""
+    at, v = t["at"].to_numpy(), t["number"].to_numpy()
+    beyond = t["is_beyond"].to_numpy(zero_copy_only=False)
+    first = np.ones(len(seg), bool)
+    first[1:] = (seg[1:] != seg[:-1]) | (at[1:] != at[:-1])
+    runs = stuck_runs(seg[first], v[first])
+    return first, seg[first], at[first], v[first], beyond[first] | runs, runs
+
 
+_OF_SOURCE = "table_name string, entity_id string, property_name string"
+_VALUES = f"{_OF_SOURCE}, kind string, n bigint, total double, data binary"
+
+
+def _pack(keys: list[str]):
+    """A row for each block: its readings, one per instant, and which are its own."""
 
-def _measure(keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches, keys):
-            _, got = judge(t, keys)
-            head = np.searchsorted(got["seg"], np.arange(got["seg"][-1] + 1))
-            rows = t.take(pa.array(head)).select(SOURCE).append_column("sigma", pa.array(got["sigma"]))
-            yield from rows.to_batches()
+            seg = _segments(t, keys)
+            first, s1, at, v, bad, _ = _firsts(t, seg)
+            own = ~t["is_margin"].to_numpy(zero_copy_only=False)[first]
+            cuts = np.searchsorted(s1, np.arange(seg[-1] + 2))
+            heads = t.take(pa.array(np.searchsorted(seg, np.arange(seg[-1] + 1)))).select(SOURCE)
+            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                data = [pa.array([x[lo:hi].tobytes()], pa.binary()) for x in (at, v.astype(float), bad, own)]
+                yield pa.RecordBatch.from_arrays([*(heads[c].slice(k, 1).combine_chunks() for c in SOURCE), *data], [*SOURCE, "at", "v", "bad", "own"])
 
     return run
 
 
-def _flag(keys: list[str]):
+def _block_values(known: dict[tuple, dict] | None):
+    """Of each packed block's own readings, the sizes that the next scales are medians of, and sums; without `known` their steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                source = tuple(row[c] for c in SOURCE)
+                at, v = np.frombuffer(row["at"], np.int64), np.frombuffer(row["v"], float)
+                bad, own = np.frombuffer(row["bad"], bool), np.frombuffer(row["own"], bool)
+                if known is None:
+                    values, sums = {"step": np.diff(at).astype(float)[own[1:]]}, {}
+                else:
+                    k = known[source]
+                    scales = [np.array(x)[:, None] for x in k["scales"]]
+                    got = phase_space_spikes(np.zeros(len(v), int), at, v, bad, {"usual": np.array([k["usual"]]), "scales": scales, "open": True})
+                    values = {c: np.abs(got[c][own & np.isfinite(got[c])]) for c in ("off", "d1", "d2")}
+                    sums = {c: float(got[c][own].sum()) for c in ("uu", "ud", "changed")}
+                rows = [(c, int(own.sum()), 0.0, x.tobytes()) for c, x in values.items()] + [(c, 0, x, None) for c, x in sums.items()]
+                kind, n, total, data = (list(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([*(pa.array([s] * len(rows), pa.string()) for s in source), pa.array(kind), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(data, pa.binary())], [*SOURCE, "kind", "n", "total", "data"])
+
+    return run
+
+
+def _picked(bins: dict[tuple, tuple] | None):
+    """Counts of the values of each block: by the leading bits of the number, or of the numbers themselves in the `bins` given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                key = tuple(row[c] for c in (*SOURCE, "kind"))
+                x = np.frombuffer(row["data"], float)
+                bits = x.view(np.int64) >> 44  # in the order of the numbers, as none is negative
+                if bins is not None:
+                    x = x[np.isin(bits, bins[key])] if key in bins else x[:0]
+                    bits = x.view(np.int64)
+                values, at, n = np.unique(bits, return_inverse=True, return_counts=True)
+                total = np.bincount(at, x, len(values))
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(values), pa.string()) for k in key), pa.array(values), pa.array(n), pa.array(total, pa.float64())], [*SOURCE, "kind", "bits", "n", "total"])
+
+    return run
+
+
+def exact_medians(values: DataFrame) -> dict[tuple, tuple[float, float]]:
+    """(*source, kind): the median and the mean of all values of a source's blocks.
+
+    Counts by leading bits (256 a doubling) find the bins of the two middle values; then only what lies in those is
+    counted by value. No task sees more of a source than that.
+    """
+    keys = [*SOURCE, "kind"]
+    held = values.where("data IS NOT NULL")
+    running, whole = Window.partitionBy(*keys).orderBy("bits"), Window.partitionBy(*keys)
+
+    def counts(bins: dict[tuple, tuple] | None) -> DataFrame:
+        got = held.mapInArrow(_picked(bins), f"{_OF_SOURCE}, kind string, bits bigint, n bigint, total double")
+        got = got.groupBy(*keys, "bits").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        return got.withColumn("upto", F.sum("n").over(running))
+
+    ranked = counts(None).withColumn("all", F.sum("n").over(whole)).withColumn("sum", F.sum("total").over(whole))
+    bins, rank, mean = {}, {}, {}
+    for r in ranked.where("upto > (all - 1) div 2 AND upto - n <= all div 2").collect():
+        key = tuple(r[c] for c in keys)
+        bins[key] = (*bins.get(key, ()), r["bits"])
+        skip = min(r["upto"] - r["n"], rank[key][2]) if key in rank else r["upto"] - r["n"]
+        rank[key], mean[key] = ((r["all"] - 1) // 2, r["all"] // 2, skip), r["sum"] / r["all"]
+    if not bins:
+        return {}
+    ranks = held.sparkSession.createDataFrame([(*k, lo - skip, hi - skip) for k, (lo, hi, skip) in rank.items()], f"{_OF_SOURCE}, kind string, lo bigint, hi bigint")
+    middle: dict[tuple, list[float]] = {}
+    for r in counts(bins).join(F.broadcast(ranks), keys).where("upto > lo AND upto - n <= hi").collect():
+        middle.setdefault(tuple(r[c] for c in keys), []).append(float(np.int64(r["bits"]).view(np.float64)))
+    return {k: ((min(x) + max(x)) / 2, mean[k]) for k, x in middle.items()}
+
+
+def _known(packed: DataFrame) -> dict[tuple, dict]:
+    """By source, the usual step and each round's scales over all own readings of its blocks, as for a source of one block."""
+    steps = materialize(packed.mapInArrow(_block_values(None), _VALUES), "steps")
+    medians = exact_medians(steps)
+    known = {}
+    for r in steps.groupBy(*SOURCE).agg(F.sum("n").alias("n")).collect():
+        source = tuple(r[c] for c in SOURCE)
+        known[source] = {"usual": medians.get((*source, "step"), (np.nan, 0))[0], "n": r["n"], "scales": []}
+    for i in range(ROUNDS):
+        values = materialize(packed.mapInArrow(_block_values(known), _VALUES), "scales")
+        sums = {tuple(r[c] for c in (*SOURCE, "kind")): r["total"] for r in values.where("data IS NULL").groupBy(*SOURCE, "kind").agg(F.sum("total").alias("total")).collect()}
+        if i and not any(x for k, x in sums.items() if k[-1] == "changed"):
+            break
+        medians = exact_medians(values)
+        for source, k in known.items():
+            scatter = [1.4826 * m if m > 0 else 1.2533 * mean for m, mean in (medians.get((*source, c), (0.0, 0.0)) for c in ("off", "d1", "d2"))]
+            k["scales"].append((*scatter, float(np.arctan2(sums[(*source, "ud")], sums[(*source, "uu")])), k["n"]))
+    return known
+
+
+def _flag(keys: list[str], known: dict[tuple, dict] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches, keys):
-            _, got = judge(t, keys)
+            got = judge(t, keys, known)
             beyond, held = (t[c].to_numpy(zero_copy_only=False) for c in ("is_beyond", "is_held"))
             spike, stuck = got["is_spike"] & ~held, got["is_stuck"] & ~held
             keep = (beyond | spike | stuck) & ~t["is_margin"].to_numpy(zero_copy_only=False)
@@ -282,7 +405,7 @@ def faulty_readings(values: DataFrame, limits: DataFrame, block_rows: int = BLOC
     * `SetPoint` sources hold a value by design: only limits apply.
     * Copies of a row (same id) are one. Values that are no numbers, lost clocks and null ids are not considered.
 
-    The usual scatter of a source cut into blocks is the median of its blocks' scatters.
+    A source that is cut into blocks is judged by the steps and scatters of all its readings, as one that isn't.
     """
     base = F.substring_index("property_name", ".", 1)
     known = limits.groupBy(F.col("property_name").alias("limited")).agg(F.max("min_value").alias("lo"), F.min("max_value").alias("hi"))
@@ -299,10 +422,11 @@ def faulty_readings(values: DataFrame, limits: DataFrame, block_rows: int = BLOC
     )
     rows, cut = ordered_blocks(rows, SOURCE, "at", ["received_at", "id"], block_rows, MARGIN)
     keys = [*SOURCE, "block"]
-    ordered = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, "at", "received_at", "id")
-    schema = "id string, table_name string, entity_id string, property_name string, at bigint, number double, is_beyond boolean, is_stuck boolean, is_spike boolean"
-    if not cut:
-        return ordered(rows).drop("received_at").mapInArrow(_flag(keys), schema)
-    measured = ordered(rows).drop("received_at").mapInArrow(_measure(keys), "table_name string, entity_id string, property_name string, sigma double")
-    usual = measured.groupBy(*SOURCE).agg(F.percentile("sigma", 0.5).alias("sigma"))
-    return ordered(rows.join(usual, SOURCE, "left")).drop("received_at").mapInArrow(_flag(keys), schema)
+    ordered = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, "at", "received_at", "id").drop("received_at")
+    schema = f"id string, {_OF_SOURCE}, at bigint, number double, is_beyond boolean, is_stuck boolean, is_spike boolean"
+    found = ordered(rows).mapInArrow(_flag(keys), schema)
+    if cut is None:
+        return found
+    cut = materialize(cut, "cut-sources")
+    packed = materialize(ordered(cut).mapInArrow(_pack(keys), f"{_OF_SOURCE}, at binary, v binary, bad binary, own binary"), "blocks")
+    return found.unionByName(ordered(cut).mapInArrow(_flag(keys, _known(packed)), schema))

@@ -97,6 +97,24 @@ def test_faults(spark):
     assert (APART, STUCK) == (7.0, 10)
 
 
+def test_a_small_last_block_has_no_vote(spark):
+    """A source cut into blocks is judged as one that isn't, whatever lies in its last few readings."""
+    g = np.random.default_rng(3)
+    n = 1001
+    v = np.round(g.normal(500, 3, n), 2)
+    v[[100, 400, 777]] += 35
+    at = lambda i: T0 + timedelta(minutes=10 * i)
+    stuck, noisy = v.copy(), v.copy()
+    stuck[-65:] = 500.0
+    noisy[-65:] = np.round(g.normal(500, 60, 65), 2)
+    rows = [(f"{e}{i}", "Sensors", e, "Co2", repr(float(x)), at(i), at(i)) for e, w in (("plain", v), ("stuck", stuck), ("noisy", noisy)) for i, x in enumerate(w)]
+    df, limits = spark.createDataFrame(rows, VALUES), spark.createDataFrame([], LIMITS)
+    whole = {(r["id"], r["is_stuck"], r["is_spike"]) for r in faulty_readings(df, limits).collect()}
+    assert {("stuck100", False, True), ("noisy100", False, True), ("plain777", False, True)} <= whole
+    for size in (500, 1000):
+        assert {(r["id"], r["is_stuck"], r["is_spike"]) for r in faulty_readings(df, limits, block_rows=size).collect()} == whole
+
+
 def test_two_readings_of_an_instant(spark):
     g = np.random.default_rng(1)
     rows = [(f"a{i}", "T", "s", "p", repr(round(float(x), 2)), T0 + timedelta(minutes=i), T0 + timedelta(minutes=i)) for i, x in enumerate(g.normal(10, 1, 100))]
