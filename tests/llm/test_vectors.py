@@ -62,6 +62,21 @@ def test_clusters(spark, max_cell):
     assert all(v[1] == sizes[v[0]] for v in found.values())
 
 
+@pytest.mark.parametrize("max_cell", [20_000, 700])
+def test_single_links_are_found(spark, max_cell):
+    """Pairs that just reach the least cosine, amid loners: no other link brings them together."""
+    g = np.random.default_rng(9)
+    a, e = g.normal(size=(2, 250, 384))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    e -= (e * a).sum(axis=1)[:, None] * a
+    c = np.linspace(0.701, 0.74, 250)[:, None]
+    b = c * a + np.sqrt(1 - c**2) * e / np.linalg.norm(e, axis=1)[:, None]
+    rows, df = frame(spark, np.concatenate((a, b, g.normal(size=(1500, 384)))).astype(np.float32), table="A")
+    got = {r["id"]: r["cluster_id"] for r in cluster_records(df, max_cell=max_cell).collect()}
+    want = brute_clusters(rows)
+    assert got == want and len(set(want.values())) == len(rows) - 250
+
+
 def test_chains_of_clusters(spark):
     """Neighbours on an arc are linked, the ends are far apart: one cluster by many steps."""
     a = np.linspace(0, np.pi, 60)
