@@ -137,9 +137,9 @@ def _search(k: int, least: float, tree_factor: float):
             row = np.repeat(np.arange(len(x)), count)
             rank = np.argsort(np.argsort(names.astype(str), kind="stable"))
             more = t["more"].to_numpy(zero_copy_only=False)
-            # A point is left out for an owner only if all its copies are that owner's.
-            low, high = np.minimum.reduceat(owners, first), np.maximum.reduceat(owners, first)
-            sole = np.where((low == high) & ~more, low, _NOBODY)
+            # A point is left out for an owner only if all its copies are that owner's, those beyond the items, too.
+            shared = t["sole"].is_null().to_numpy(zero_copy_only=False)
+            sole = np.where(shared, _NOBODY, t["sole"].fill_null(_NOBODY).to_numpy())
             # The tree: the points that live here, by their first names.
             mine = np.nonzero(t["lives"].to_numpy(zero_copy_only=False))[0]
             if not len(mine):
@@ -192,12 +192,13 @@ def nearest(records: DataFrame, key: str = "id", owner: list[str] | None = None,
     in_all = F.row_number().over(Window.partitionBy("code").orderBy("name"))
     first = members.withColumn("r", per_owner).where(F.col("r") <= k).withColumn("r", in_all).where(F.col("r") <= 2 * k)
     items = first.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("name", "owner"))).alias("items"))
-    counts = members.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    known = items.join(counts, "code").select("code", "items", (F.col("n") > F.size("items")).alias("more"))
-    points = rows.groupBy("code").agg(F.first("vector").alias("vector")).join(known, "code").select("vector", "code", "more", "items")
+    counts = members.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"))
+    # The owner of all copies of a point, if it is one.
+    known = items.join(counts, "code").select("code", "items", (F.col("n") > F.size("items")).alias("more"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("sole"))
+    points = rows.groupBy("code").agg(F.first("vector").alias("vector")).join(known, "code").select("vector", "code", "more", "sole", "items")
     points = materialize(points, "points")
     cells = make_cells(points, points.count(), (2 - 2 * least) ** 0.5, shard_factor, partitions, None, dimension=dimension, max_cell=max_cell)
-    fields = "vector binary, code binary, more boolean, items array<struct<name string, owner bigint>>"
+    fields = "vector binary, code binary, more boolean, sole bigint, items array<struct<name string, owner bigint>>"
     placed = points.mapInArrow(_assign(cells, points.columns), f"cell bigint, part bigint, lives boolean, {fields}")
     got = placed.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_search(k, least, tree_factor), _FOUND)
     best = F.row_number().over(Window.partitionBy("code", "owner", "other").orderBy(F.desc("cosine"), "name"))

@@ -139,6 +139,18 @@ def test_copies_and_split_cells(spark, max_cell):
     assert got == brute_neighbours(rows)
 
 
+def test_many_copies_of_one_owner_take_no_places(spark):
+    """Eight near vectors of one entity, each stored seven times, and farther ones of others: all five places are filled."""
+    g = np.random.default_rng(11)
+    c = g.normal(size=384)
+    c /= np.linalg.norm(c)
+    off = lambda size: (c + size * (e := g.normal(size=384)) / np.linalg.norm(e)).astype(np.float32)
+    rows = [(f"own{i}-{k}", "A", "one", [float(y) for y in v], None) for i, v in enumerate([off(0.1) for _ in range(8)]) for k in range(7)]
+    rows += [(f"other{i}", "A", f"e{i}", [float(y) for y in off(0.5)], None) for i in range(9)]
+    got = {(r["id"], r["neighbour"]) for r in nearest(spark.createDataFrame(rows, SCHEMA), shard_factor=1.0, tree_factor=1.0, partitions=1).collect()}
+    assert got == brute_neighbours(rows) and sum(a == "own0-0" for a, _ in got) == 5
+
+
 def test_recall_with_production_settings(spark):
     rows, df = frame(spark, grouped(6, 60, 12, 900))
     want = brute_neighbours(rows)
