@@ -129,6 +129,20 @@ def test_chains_within_an_instant(spark):
     assert got == {("a", "3"): (at, None), ("b", "1"): (at, None), ("c", "1"): (at, later), ("c", "9"): (later, None)}
 
 
+def test_many_rings_at_the_end(spark):
+    """Rings of changes have no effect, however many of them come last."""
+    at = lambda i: T0 + timedelta(seconds=i)
+    update = [("b", "p", at(1), "Update", "A", "B")]
+    rings = [("b", "p", at(2 + i), "Update", *x) for i in range(4) for x in (("B", "C"), ("C", "B"))]
+    rows = [("b", "p", T0, "Insert", None, "A")]
+    gone = [("g", "p", T0, "Insert", None, "A"), ("g", "p", at(1), "Delete", "A", None)]
+    gone += [("g", "p", at(2 + i), *x) for i in range(3) for x in (("Insert", None, "C"), ("Delete", "C", None))]
+    for log in (rows + update + rings + gone, update + rings + gone):
+        log = make_log(spark, log)
+        assert [(r["entity_id"], r["current_value"], r["changed_at"]) for r in current_values(log).collect()] == [("b", "B", at(1))]
+        assert [r["value"] for r in attribute_history(log).where("valid_to IS NULL").collect()] == ["B"]
+
+
 def test_spellings_nulls_and_empty_logs(spark):
     g = "0A1B2C3D-0000-1111-2222-333344445555"
     rows = [
