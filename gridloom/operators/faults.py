@@ -2,7 +2,8 @@
 
 Spikes are found by phase-space thresholding: what a reading is off the level around it, with its first and
 second differences, must lie in an ellipsoid whose axes are robust scatters times the universal threshold.
-What lies outside is taken out of the levels and the search runs again. Candidates then must stand apart from
+What lies outside is taken out of the levels and the search runs again. Then the sides are parted at lasting changes of
+level, and what is more than `APART` scatters off its level there is a candidate, too. Candidates must stand apart from
 the level on either side of them by more than `APART` times the source's usual scatter.
 """
 
