@@ -157,6 +157,12 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select("source_name", "target_share", "tokens", F.round(F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0), 6).alias("actual_share"), "uses", "passes")
 
 
+def listed_tokens(sized: DataFrame, targets: DataFrame) -> int:
+    """Tokens of all documents of the listed sources, as a total that lets scarce sources fall short."""
+    names = targets.where("target_share > 0 AND max_repeats > 0").select(source_key(F.col("source_name")).alias("s")).distinct()
+    return sized.where("n_tokens > 0").withColumn("s", source_key(F.col("source"))).join(names, "s", "left_semi").agg(F.sum("n_tokens")).first()[0] or 0
+
+
 def sized_once(counts: DataFrame) -> DataFrame:
     """Token counts written once, as a mix reads them twice."""
     return materialize(counts, "token-counts")

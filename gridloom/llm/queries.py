@@ -35,9 +35,10 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
 
-def _mix(spark: SparkSession, folder: str) -> DataFrame:
-    counts = tokens.token_counts(table(spark, folder, "documents"), ["doc_id", "source"])
-    return mixing.mix(mixing.sized_once(counts), table(spark, folder, "mix_targets"))
+def _mix(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    counts = mixing.sized_once(tokens.token_counts(table(spark, folder, "documents"), ["doc_id", "source"]))
+    targets = table(spark, folder, "mix_targets")
+    return mixing.mix(counts, targets, total=mixing.listed_tokens(counts, targets) if whole else None)
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,6 +49,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p9_whole_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of a mix as large as the listed sources' documents: scarce sources fall short, and the report shows it."""
+    return mixing.shares(_mix(spark, folder, whole=True), table(spark, folder, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_levels(spark, folder).select("doc_id", "level_no")
 
@@ -56,7 +62,7 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
     return level.reading_levels(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p9_whole_shares, p10_found, p10_levels)}
 
 _VECTORS = """
 vectors AS (

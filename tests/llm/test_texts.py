@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import level, mix, prose, tokens
+from gridloom.llm import queries as llm_queries
 
 FOLDER = tokens.FOLDER
 needs_ranks = pytest.mark.skipif(not Path(f"{FOLDER}/{tokens.TOKENIZER}.tiktoken").exists(), reason="no vocabulary files here")
@@ -101,6 +102,19 @@ def test_mix(spark):
     assert report["absent"]["tokens"] == 0 and report["big"]["tokens"] == size["big"] and abs(sum(r["actual_share"] for r in report.values()) - 1) < 1e-5
 
 
+def test_a_scarce_source_falls_short_and_is_reported(spark):
+    """A mix as large as the listed documents isn't held down by a source of a few hundred tokens."""
+    rows, df = sized(spark)
+    df = df.unionByName(spark.createDataFrame([(9_999, "Tiny", 300, 1)], "doc_id bigint, source string, n_tokens bigint, block int"))
+    targets = spark.createDataFrame([("big", 0.6, 2), ("mid-one", 0.3, 2), ("tiny", 0.1, 3), ("absent", 0.2, 1), ("other", 0.0, 1)], TARGETS)
+    total = mix.listed_tokens(df, targets)
+    assert total == 300 + sum(n for _, s, n in rows if s in ("Big ", "mid-one"))
+    got = {r["source_name"]: r for r in mix.shares(mix.mix(df, targets, total=total), targets).collect()}
+    assert abs(sum(r["tokens"] for r in got.values()) - total) < 2_000
+    assert got["tiny"]["tokens"] == 900 and got["tiny"]["actual_share"] < 0.01 < got["tiny"]["target_share"]
+    assert mix.listed_tokens(df.limit(0), targets) == 0 and "p9_whole_shares" in llm_queries.QUERIES
+
+
 def test_mix_of_a_given_size_and_of_nothing(spark):
     _, df = sized(spark)
     targets = spark.createDataFrame([("big", 0.2, 1), ("small", 0.8, 2)], TARGETS)
