@@ -46,44 +46,77 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only on one machine, where the session may name none, a temporary folder is made; on a cluster that raises.
     """
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
     return _own_folder
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as a compressed table in the shared folder and read it back.
 
-    Cuts the lineage and survives the loss of any executor. Takes a Spark job.
+    Cuts the lineage and survives the loss of any executor. Takes a Spark job. The table goes with `release` or when
+    the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _forget_at_exit(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_forget, spark)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-_written: list[str] = []
+def release(df: DataFrame) -> None:
+    """Remove the table of a materialized frame that nothing reads any more."""
+    path = getattr(df, "_written_at", None)
+    if path in _written:
+        _remove(df.sparkSession, path)
+        _written.remove(path)
 
 
-def _forget_at_exit(path: str) -> None:
-    if not _written:
-        atexit.register(_forget)
-    _written.append(path)
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _forget() -> None:
+def _forget(spark: SparkSession) -> None:
     for path in _written:
-        local = path.removeprefix("file://")
-        if os.path.isdir(local):
-            shutil.rmtree(local, ignore_errors=True)
+        try:
+            _remove(spark, path)
+        except Exception:  # the session has ended: what lies on this machine can go all the same
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+#: Keys with more than this share of all rows are hot, if those are more than HOT_ROWS.
+HOT_SHARE, HOT_ROWS = 1_000, 1_000_000
+
+
+def meet(many: DataFrame, one: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """`many` joined with `one`, which has a row per key and `group_rows`, how many of about `rows` rows of `many` have the key.
+
+    Keys with more than 1 / HOT_SHARE of all rows, HOT_SHARE at most, meet theirs by broadcast, others by a shuffle, in which
+    no key has more than that share. `group_rows` is dropped.
+    """
+    limit = max(rows // HOT_SHARE, HOT_ROWS)
+    if rows <= limit:
+        return many.join(one.drop("group_rows"), list(keys))
+    hot = one.where(F.col("group_rows") > limit).drop("group_rows")
+    rest = many.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(one.where(F.col("group_rows") <= limit).drop("group_rows"), list(keys))
+    return rest.unionByName(many.join(F.broadcast(hot), list(keys)))
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int, *extra) -> DataFrame | None:
