@@ -20,9 +20,10 @@ from gridloom.runtime import materialize
 
 NEAREST, LEAST = 5, 0.70
 #: Independent partitions; relaxation between shards and within a tree.
-PARTITIONS, SHARD_FACTOR, TREE_FACTOR = 5, 150.0, 4.0
-LEAF = 256
-#: Candidates kept in single precision beyond those wanted, to be ordered in double precision.
+PARTITIONS, SHARD_FACTOR, TREE_FACTOR = 5, 150.0, 2.0
+#: Vectors in a leaf; candidates for a vantage point; a gap between distances from which a node is cut there and not in half.
+LEAF, CANDIDATES, GAP = 32, 12, 0.1
+#: Points kept in single precision beyond those wanted, to be ordered in double precision.
 SPARE = 4
 _BLOCK = 1_024
 #: In place of an owner: nobody's.
@@ -33,77 +34,119 @@ _RANKS = 10_000_000
 class VantageTree:
     """A vantage-point tree over unit vectors (float32), searched for many queries at once.
 
-    `owner` numbers what a vector belongs to; a query leaves out its own owner's vectors. Vectors are given in
-    order of their names: among equal similarities (six decimals) the earlier one is nearer.
+    A node's ball about its vantage point ends at the widest gap between distances if there is one, as about a cluster, else
+    at their median. `owner` numbers what a vector belongs to; a query leaves out its own owner's vectors. Vectors are given in
+    order of their names: among equal similarities (six decimals) the earlier one is nearer. `compared` counts the
+    distances that were computed.
     """
 
-    def __init__(self, x: np.ndarray, owner: np.ndarray, factor: float = TREE_FACTOR, leaf: int = LEAF, seed: int = 7):
+    def __init__(self, x: np.ndarray, owner: np.ndarray, factor: float = TREE_FACTOR, leaf: int = LEAF, gap: float = GAP, seed: int = 7):
         if len(x) >= _RANKS:
             raise ValueError(f"a tree holds fewer than {_RANKS} vectors")
-        self.x, self.owner, self.factor, self.leaf = x.astype(np.float32), owner, factor, leaf
-        self.rng = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(x)))
+        self.factor, self.leaf, self.gap, self.compared = factor, leaf, gap, 0
+        self._given = x.astype(np.float32)
+        self._rng = np.random.default_rng(seed)
+        self._points: list[int] = []
+        self._order: list[np.ndarray] = []
+        self._leaves: dict[int, slice] = {}
+        self._done = 0
+        root = self._build(np.arange(len(x)))
+        # Vectors in order of the leaves, so that a leaf is a stretch of them.
+        at = np.concatenate(self._order) if self._order else np.zeros(0, int)
+        self.root, self.at, self.x, self.owner = root, at, self._given[at], np.asarray(owner)[at]
+        self.vantage = self._given[self._points]
+        del self._given, self._order
 
     def _build(self, at: np.ndarray):
         if len(at) <= self.leaf:
-            return np.sort(at)
-        # Of a few candidates, the vantage point whose distances are spread most.
-        some = self.rng.choice(at, min(8, len(at)), replace=False)
-        d = np.sqrt(np.maximum(0, 2 - 2 * self.x[at] @ self.x[some].T))
-        best = d.std(axis=0).argmax()
-        point, d = some[best], d[:, best]
-        half = np.argsort(d, kind="stable")
-        cut = len(at) // 2
-        near, far = half[:cut], half[cut:]
-        return (point, d[near].min(), d[near].max(), d[far].min(), d[far].max(), self._build(at[near]), self._build(at[far]))
+            self._order.append(np.sort(at))
+            self._done += len(at)
+            leaf = slice(self._done - len(at), self._done)
+            self._leaves[leaf.start] = leaf
+            return leaf
+        some = self._rng.choice(at, CANDIDATES, replace=False)
+        d = np.sqrt(np.maximum(0, 2 - 2 * self._given[at] @ self._given[some].T))
+        gaps = np.diff(np.sort(d, axis=0), axis=0)
+        edge = max(self.leaf // 4, len(at) // 64)  # no slivers: the depth stays bounded
+        gaps[:edge], gaps[len(gaps) - edge :] = 0, 0
+        cut, best = np.unravel_index(gaps.argmax(), gaps.shape)
+        if gaps[cut, best] > self.gap:
+            cut += 1
+        else:  # the vantage point whose distances are spread most
+            best, cut = d.std(axis=0).argmax(), len(at) // 2
+        d = d[:, best]
+        order = np.argsort(d, kind="stable")
+        d = d[order]
+        number = len(self._points)
+        self._points.append(int(some[best]))
+        return (number, d[0], d[cut - 1], d[cut], d[-1], self._build(at[order[:cut]]), self._build(at[order[cut:]]))
 
     def search(self, q: np.ndarray, leave_out: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Positions and similarities (k columns, best first; -1 where there is none) of each query."""
-        wide = k + SPARE
-        keys = np.full((len(q), wide), -1.0)
-        if len(self.x):
-            self._visit(self.root, np.arange(len(q)), q.astype(np.float32), leave_out, keys, k, least)
+        keys = np.full((len(q), k + SPARE), -1.0)
+        f = q.astype(np.float32)
+        for i in range(0, len(q) if len(self.x) else 0, _BLOCK):
+            b = slice(i, i + _BLOCK)
+            far = np.sqrt(np.maximum(0, 2 - 2 * f[b] @ self.vantage.T))
+            self.compared += far.size
+            home = np.zeros(len(far), np.int64)
+            self._descend(self.root, np.arange(len(far)), far, home)
+            for start in np.unique(home):
+                self._look(self._leaves[start], np.nonzero(home == start)[0], f[b], leave_out[b], keys[b], least)
+            self._sweep(self.root, np.arange(len(far)), far, home, f[b], leave_out[b], keys[b], least)
         pos = np.where(keys >= 0, _RANKS - 1 - np.mod(keys, _RANKS), -1).astype(np.int64)
-        return self._order(q, pos, k, least)
+        return self._best(q, pos, k, least)
 
-    def _order(self, q: np.ndarray, pos: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, q: np.ndarray, pos: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        place = np.zeros(len(self.at), np.int64)
+        place[self.at] = np.arange(len(self.at))
         sim = np.full(pos.shape, -1.0)
         row, col = np.nonzero(pos >= 0)
         for i in range(0, len(row), 50_000):
             r, c = row[i : i + 50_000], col[i : i + 50_000]
-            sim[r, c] = np.round(np.einsum("ij,ij->i", q[r], unit(self.x[pos[r, c]])), 6)
+            sim[r, c] = np.round(np.einsum("ij,ij->i", q[r], unit(self.x[place[pos[r, c]]])), 6)
         sim[sim < least] = -1
         order = np.lexsort((np.where(pos < 0, _RANKS, pos), -sim), axis=1)[:, :k]
         pos, sim = np.take_along_axis(pos, order, 1), np.take_along_axis(sim, order, 1)
         return np.where(sim < 0, -1, pos), sim
 
-    def _visit(self, node, at: np.ndarray, q: np.ndarray, out: np.ndarray, keys: np.ndarray, k: int, least: float) -> None:
-        if not len(at):
-            return
-        if isinstance(node, np.ndarray):
-            items = self.x[node].T
-            rank = _RANKS - 1 - node
-            for i in range(0, len(at), _BLOCK):
-                b = at[i : i + _BLOCK]
-                s = np.round((q[b] @ items).astype(np.float64), 6)
-                new = np.where((s < least - 2e-6) | (self.owner[node][None] == out[b][:, None]), -1.0, np.round(s * 1e6) * _RANKS + rank)
-                hit = new.max(axis=1) > keys[b].min(axis=1)
-                if hit.any():
-                    both = np.concatenate((keys[b[hit]], new[hit]), axis=1)
-                    w = keys.shape[1]
-                    keys[b[hit]] = np.partition(both, both.shape[1] - w, axis=1)[:, -w:]
-            return
-        point, near_lo, near_hi, far_lo, far_hi, near, far = node
-        d = np.sqrt(np.maximum(0, 2 - 2 * q[at] @ self.x[point]))
-        near_first = d <= (near_hi + far_lo) / 2
-        self._visit(near, at[near_first], q, out, keys, k, least)
-        self._visit(far, at[~near_first], q, out, keys, k, least)
-        # What a query has by now bounds what it still looks for.
-        kth = np.partition(keys[at], SPARE, axis=1)[:, SPARE]
-        bound = np.where(kth >= 0, np.maximum(np.floor(kth / _RANKS) / 1e6, least), least)
-        r = np.sqrt(np.maximum(0, 2 - 2 * bound)) / self.factor
-        self._visit(near, at[~near_first & (d - near_hi <= r) & (near_lo - d <= r)], q, out, keys, k, least)
-        self._visit(far, at[near_first & (far_lo - d <= r) & (d - far_hi <= r)], q, out, keys, k, least)
+    def _descend(self, node, at: np.ndarray, far: np.ndarray, home: np.ndarray) -> None:
+        """The leaf on whose side of every ball a query lies."""
+        if isinstance(node, slice):
+            home[at] = node.start
+        elif len(at):
+            number, _, near_hi, far_lo, _, near, beyond = node
+            inside = far[at, number] <= (near_hi + far_lo) / 2
+            self._descend(near, at[inside], far, home)
+            self._descend(beyond, at[~inside], far, home)
+
+    def _sweep(self, node, at: np.ndarray, far: np.ndarray, home: np.ndarray, q: np.ndarray, out: np.ndarray, keys: np.ndarray, least: float) -> None:
+        """Through all that can hold something nearer than a query has; its home has been looked at."""
+        if isinstance(node, slice):
+            at = at[home[at] != node.start]
+            if len(at):
+                self._look(node, at, q, out, keys, least)
+        elif len(at):
+            number, near_lo, near_hi, far_lo, far_hi, near, beyond = node
+            d = far[at, number]
+            kth = np.partition(keys[at], SPARE, axis=1)[:, SPARE]
+            bound = np.where(kth >= 0, np.maximum(np.floor(kth / _RANKS) / 1e6, least), least)
+            r = np.sqrt(np.maximum(0, 2 - 2 * bound)) / self.factor + 1e-3
+            self._sweep(near, at[(d - near_hi <= r) & (near_lo - d <= r)], far, home, q, out, keys, least)
+            self._sweep(beyond, at[(far_lo - d <= r) & (d - far_hi <= r)], far, home, q, out, keys, least)
+
+    def _look(self, leaf: slice, at: np.ndarray, q: np.ndarray, out: np.ndarray, keys: np.ndarray, least: float) -> None:
+        s = q[at] @ self.x[leaf].T
+        self.compared += s.size
+        near = s >= least - 2e-6
+        hit = np.nonzero(near.any(axis=1))[0]
+        if len(hit):
+            b = at[hit]
+            good = near[hit] & (self.owner[leaf][None] != out[b][:, None])
+            new = np.where(good, np.round(s[hit].astype(np.float64) * 1e6) * _RANKS + (_RANKS - 1 - self.at[leaf]), -1.0)
+            both = np.concatenate((keys[b], new), axis=1)
+            w = keys.shape[1]
+            keys[b] = np.partition(both, both.shape[1] - w, axis=1)[:, -w:]
 
 
 def _assign(cells: Cells, fields: list[str]):
