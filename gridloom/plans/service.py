@@ -20,7 +20,7 @@ from gridloom.plans.program import Program, Scripts, Step
 from gridloom.runtime import materialize
 from gridloom.schemas import EVENTS, SYSTEM
 from gridloom.sources.catalog import Catalog
-from gridloom.sources.store import Store
+from gridloom.sources.store import Store, Transaction
 from gridloom.spec import EntitySpec
 
 log = logging.getLogger(__name__)
@@ -64,11 +64,12 @@ class Engine:
         self.catalog = Catalog(self.store)
         self.bus = EventBus()
         self.provider = provider or search.HashingProvider()
-        self.store.ensure("sysChangeEvents", EVENTS)
+        self.store.ensure({"sysChangeEvents": EVENTS})
         self.catalog.ensure()
 
-    def entity(self, spec: EntitySpec) -> "EntityService":
-        self.catalog.register(spec)
+    def entity(self, spec: EntitySpec, rows: Callable[[], DataFrame] | None = None) -> "EntityService":
+        """The service of an entity; `rows` gives its rows where they don't lie in the store, and can't be written."""
+        self.catalog.register(spec, rows)
         self.catalog.ensure()
         return EntityService(self, self.catalog.spec(spec.table))
 
@@ -81,10 +82,15 @@ class Engine:
         return series.decode(base.join(self.system("sysTimeseriesDeltas").drop("Id"), "BaseValueId"), series.KEYS)
 
     def query(self, sql: str, params: Mapping[str, object] | Sequence[object] = ()) -> DataFrame:
-        """Rows of a query over the user tables. What isn't a query is refused."""
-        why = sqltext.refuse(self.spark, sqltext._POSITION.sub(r":p\1", sql), self.options.compat)
+        """Rows of a query over the user tables. What isn't a query, or reads anything else, is refused."""
+        text = sqltext._POSITION.sub(r":p\1", sql)
+        why = sqltext.refuse(self.spark, text, self.options.compat)
         if why:
             raise ValueError(why)
+        known = {t.lower() for t in self.catalog.tables()}
+        for t in sorted(sqltext.relations(self.spark, text)):
+            if t.lower() not in known:
+                raise ValueError(f"Invalid table reference {t}")
         self.catalog.views()
         return sqltext.query(self.spark, sql, params)
 
@@ -167,97 +173,116 @@ class EntityService:
         """Add new rows; returns how many. A key that is there already, or twice, raises."""
         new = materialize(self._incoming(rows), "incoming")
         key = self.spec.key
-        twice = new.groupBy(key).count().where("count > 1").select(key)
-        there = new.join(self._rows().select(key), key, "left_semi").select(key)
-        for r in twice.unionByName(there).limit(1).collect():
-            raise ValueError(f"{self.spec.table} has {key} {r[0]} already")
-        return self._apply(self._rows().limit(0), new)
+
+        def states(t: Transaction) -> tuple[DataFrame, DataFrame]:
+            twice = new.groupBy(key).count().where("count > 1").select(key)
+            there = new.join(t.rows(self.spec.table).select(key), key, "left_semi").select(key)
+            for r in twice.unionByName(there).limit(1).collect():
+                raise ValueError(f"{self.spec.table} has {key} {r[0]} already")
+            return new.limit(0), new
+
+        return self._write(states)
 
     def update(self, rows: DataFrame | Iterable[Mapping]) -> int:
         """Set rows that are there; returns how many of the given ones are. Others change nothing."""
-        new = self._last(self._incoming(rows))
-        new = materialize(new.join(self._rows().select(self.spec.key), self.spec.key, "left_semi").select(*self.spec.schema.names), "incoming")
-        return self._apply(self._old(new), new)
+        given = materialize(self._last(self._incoming(rows)), "incoming")
+
+        def states(t: Transaction) -> tuple[DataFrame, DataFrame]:
+            old = self._old(t, given)
+            return old, given.join(old.select(self.spec.key), self.spec.key, "left_semi").select(*self.spec.schema.names)
+
+        return self._write(states)
 
     def upsert(self, rows: DataFrame | Iterable[Mapping]) -> int:
         """Update rows that are there, insert others, all or none; of several of one key the last given counts."""
         new = materialize(self._last(self._incoming(rows)), "incoming")
-        return self._apply(self._old(new), new)
+        return self._write(lambda t: (self._old(t, new), new))
 
     def delete(self, idents: DataFrame | Iterable[object]) -> int:
         """Remove rows by key; returns how many were there. Their series and vectors stay."""
         key = self.spec.key
         named = idents.select(key) if isinstance(idents, DataFrame) else self.engine.spark.createDataFrame([(i,) for i in idents], StructType([self.spec.schema[key]]))
-        old = materialize(self._rows().join(named, key, "left_semi").select(*self.spec.schema.names), "leaving")
-        return self._apply(old, self._rows().limit(0))
+        named = materialize(named, "leaving")
+        return self._write(lambda t: (self._old(t, named), t.rows(self.spec.table).limit(0)))
 
     def delete_all(self) -> int:
-        """Remove all rows, and their vectors and series; the logs stay."""
-        n = self._apply(materialize(self._rows(), "leaving"), self._rows().limit(0))
-        store, mine = self.engine.store, F.col("TableName") == self.spec.table
-        gone = store.read("sysTimeseriesBaseValues").where(mine).select(F.col("Id").alias("BaseValueId"))
-        store.change("sysTimeseriesDeltas", lambda d: d.join(gone, "BaseValueId", "left_anti"))
-        store.change("sysTimeseriesBaseValues", lambda d: d.where(~mine))
-        store.change("sysEmbeddings", lambda d: d.where(~mine))
-        return n
+        """Remove all rows, and their vectors and series, at once; the logs stay."""
+        mine = F.col("TableName") == self.spec.table
+
+        def and_more(t: Transaction) -> None:
+            base = t.rows("sysTimeseriesBaseValues")
+            gone = base.where(mine).select(F.col("Id").alias("BaseValueId"))
+            t.replace("sysTimeseriesDeltas", t.rows("sysTimeseriesDeltas").join(gone, "BaseValueId", "left_anti"))
+            t.replace("sysTimeseriesBaseValues", base.where(~mine))
+            t.replace("sysEmbeddings", t.rows("sysEmbeddings").where(~mine))
+
+        return self._write(lambda t: (t.rows(self.spec.table), t.rows(self.spec.table).limit(0)), and_more)
 
     def _last(self, rows: DataFrame) -> DataFrame:
         numbered = rows.withColumn("given", F.monotonically_increasing_id())
         best = numbered.groupBy(self.spec.key).agg(F.max_by(F.struct(*self.spec.schema.names), "given").alias("r"))
         return best.select("r.*")
 
-    def _old(self, new: DataFrame) -> DataFrame:
-        return materialize(self._rows().join(new.select(self.spec.key), self.spec.key, "left_semi").select(*self.spec.schema.names), "before")
+    def _old(self, t: Transaction, new: DataFrame) -> DataFrame:
+        return materialize(t.rows(self.spec.table).join(new.select(self.spec.key), self.spec.key, "left_semi").select(*self.spec.schema.names), "before")
+
+    def _write(self, states: Callable[[Transaction], tuple[DataFrame, DataFrame]], and_more: Callable[[Transaction], None] | None = None) -> int:
+        """One commit of the change from the old to the new rows that `states` gives and of all that follows from it; then publish.
 
-    def _apply(self, old: DataFrame, new: DataFrame) -> int:
-        """Commit the change from `old` to `new` rows, then what follows from it, then publish."""
+        If another writer commits to a table that was read, all of it is made anew from the newer rows.
+        """
+        n, events = self.engine.store.transact(lambda t: self._changed(t, *states(t), and_more))
+        if events is not None:
+            self.engine.bus.publish(events)
+        return n
+
+    def _changed(self, t: Transaction, old: DataFrame, new: DataFrame, and_more: Callable[[Transaction], None] | None) -> tuple[int, DataFrame | None]:
         e, spec, opt = self.engine, self.spec, self.engine.options
         at = moment(e.clock())
         pairs = materialize(diff.paired(old, new, spec.key), "changes")
         n = pairs.count()
+        if n:
+            gone = pairs.where("o IS NOT NULL").select(F.col(f"o.{spec.key}").alias(spec.key))
+            added = pairs.where("n IS NOT NULL").select("n.*")
+            t.replace_keys(spec.table, gone, added)
+            if opt.change_tracking and spec.tracked:
+                t.append("sysChangeLog", diff.change_log(pairs, spec.table, list(spec.tracked), at, opt.changed_by))
+            if opt.integrity and spec.integrity:
+                both = pairs.select(F.explode(F.array(F.coalesce("n", "o"))).alias("r")).select("r.*")
+                values = materialize(integrity.unpivot(both, spec.table, spec.key, list(spec.integrity)), "values")
+                log = t.rows("sysIntegrityLog").where(F.col("TableName") == spec.table).join(values.select("EntityId").distinct(), "EntityId", "left_semi")
+                t.append("sysIntegrityLog", integrity.append(log, values, at))
+            if opt.embeddings and spec.embeds:
+                self._embed(t, added)
+            if opt.timeseries and spec.series:
+                self._observe(t, added, at)
+        if and_more:
+            and_more(t)
         if not n:
-            return 0
-        # The pairs keep the table's columns, so the commit can be made again on a conflict.
-        gone = pairs.where("o IS NOT NULL").select(F.col(f"o.{spec.key}").alias(spec.key))
-        added = pairs.where("n IS NOT NULL").select("n.*")
-        if old.isEmpty():
-            e.store.append(spec.table, added)
-        else:
-            e.store.change(spec.table, lambda d: d.join(gone, spec.key, "left_anti").unionByName(added))
-        if opt.change_tracking and spec.tracked:
-            e.store.append("sysChangeLog", diff.change_log(pairs, spec.table, list(spec.tracked), at, opt.changed_by))
-        if opt.integrity and spec.integrity:
-            both = pairs.select(F.explode(F.array(F.coalesce("n", "o"))).alias("r")).select("r.*")
-            values = integrity.unpivot(both, spec.table, spec.key, list(spec.integrity))
-            e.store.append("sysIntegrityLog", materialize(integrity.append(e.system("sysIntegrityLog"), values, at), "hashes"))
-        if opt.embeddings and spec.embeds:
-            self._embed(added)
-        if opt.timeseries and spec.series:
-            self._observe(added, at)
+            return 0, None
         events = materialize(diff.change_events(pairs, spec.table, spec.schema.names, at), "events")
-        e.store.append("sysChangeEvents", events)
-        e.bus.publish(events)
-        return n
+        t.append("sysChangeEvents", events)
+        return n, events
 
-    def _embed(self, rows: DataFrame) -> None:
+    def _embed(self, t: Transaction, rows: DataFrame) -> None:
         e, spec = self.engine, self.spec
         related = {t: e.catalog.rows(t) for t in {*(c.table for c in spec.children), *(p.table for p in spec.parents)}}
         texts = render.entity_texts(rows, spec, related).where("Text IS NOT NULL")
         new = search.embed(texts, "Text", e.provider).select(F.sha2(F.concat_ws("|", F.lit(spec.table), "EntityId"), 256).alias("Id"), F.lit(spec.table).alias("TableName"), "EntityId", "Embedding")
         new = materialize(new, "vectors")
-        e.store.change("sysEmbeddings", lambda d: d.join(new.select("TableName", "EntityId"), ["TableName", "EntityId"], "left_anti").unionByName(new))
+        t.replace_keys("sysEmbeddings", new.select("TableName", "EntityId"), new)
 
-    def _observe(self, rows: DataFrame, at: Column) -> None:
+    def _observe(self, t: Transaction, rows: DataFrame, at: Column) -> None:
         """Record the series columns' values, unchanged ones too."""
-        e, spec = self.engine, self.spec
+        spec = self.spec
         seen = integrity.unpivot(rows, spec.table, spec.key, list(spec.series)).withColumn("Value", F.coalesce("Value", F.lit("")))
         keys = [*series.KEYS, "Value"]
         ident = F.sha2(F.concat_ws("|", *keys), 256)
-        known = e.system("sysTimeseriesBaseValues").select(F.col("Id"), F.col("Timestamp"))
+        known = t.rows("sysTimeseriesBaseValues").where(F.col("TableName") == spec.table).select("Id", "Timestamp")
         seen = materialize(seen.withColumn("Id", ident).join(known, "Id", "left").withColumn("at", at), "observed")
-        e.store.append("sysTimeseriesBaseValues", seen.where("Timestamp IS NULL").select("Id", *keys, F.col("at").alias("Timestamp")))
+        t.append("sysTimeseriesBaseValues", seen.where("Timestamp IS NULL").select("Id", *keys, F.col("at").alias("Timestamp")))
         offset = F.expr("timestampdiff(MILLISECOND, coalesce(Timestamp, at), at)")
-        e.store.append("sysTimeseriesDeltas", seen.select(F.sha2(F.concat_ws("|", "Id", at.cast("string")), 256).alias("Id"), F.col("Id").alias("BaseValueId"), offset.alias("StartMs"), F.array(F.lit(0).cast("bigint")).alias("Deltas"), offset.alias("LastTimestamp"), F.lit(1).alias("Version")))
+        t.append("sysTimeseriesDeltas", seen.select(F.sha2(F.concat_ws("|", "Id", at.cast("string")), 256).alias("Id"), F.col("Id").alias("BaseValueId"), offset.alias("StartMs"), F.array(F.lit(0).cast("bigint")).alias("Deltas"), offset.alias("LastTimestamp"), F.lit(1).alias("Version")))
 
     def verify(self) -> DataFrame:
         """A report in place of an error: values that differ from the log, and broken links."""
@@ -271,7 +296,8 @@ class AnalyticsService:
 
     def __init__(self, engine: Engine, scripts: Scripts | None = None):
         self.engine, self.scripts = engine, scripts or Scripts()
-        self._last_run: dict[str, dt.datetime] = {}
+        # A restart keeps when programs last ran; their triggers follow from their steps.
+        self._last_run: dict[str, dt.datetime] = {r["Id"]: r["LastRun"] for r in engine.system("sysAnalytics").where("LastRun IS NOT NULL").select("Id", "LastRun").collect()}
         self._triggers: dict[str, list[tuple[str, str | None]]] = {}
         for p in self._load():
             self._watch(p)
@@ -315,15 +341,27 @@ class AnalyticsService:
             raise ValueError("Validation Failed: " + "; ".join(errors))
         p.id = p.id or str(uuid.uuid4())
         steps = [(str(uuid.uuid4()), p.id, i + 1, s.kind.value, s.config, s.output or "", s.max_loop if s.kind.value == "Condition" else programs.MAX_LOOP) for i, s in enumerate(p.steps)]
-        e.store.append("sysAnalyticsSteps", e.spark.createDataFrame(steps, SYSTEM["sysAnalyticsSteps"]))
-        e.store.append("sysAnalytics", e.spark.createDataFrame([(p.id, p.name, "0", p.interval, None, p.embeddable, "OK")], SYSTEM["sysAnalytics"]))
+        head = e.spark.createDataFrame([(p.id, p.name, "0", p.interval, None, p.embeddable, "OK")], SYSTEM["sysAnalytics"])
+
+        def keep(t: Transaction) -> None:
+            if not t.rows("sysAnalytics").where(F.col("Name") == p.name).isEmpty():
+                raise ValueError(f"Analytics {p.name} exists.")
+            t.append("sysAnalyticsSteps", e.spark.createDataFrame(steps, SYSTEM["sysAnalyticsSteps"]))
+            t.append("sysAnalytics", head)
+
+        e.store.transact(keep)
         self._watch(p)
         return p.id
 
     def delete(self, ident: str) -> None:
         self._get(ident)
-        self.engine.store.change("sysAnalyticsSteps", lambda d: d.where(F.col("AnalyticsId") != ident))
-        self.engine.store.change("sysAnalytics", lambda d: d.where(F.col("Id") != ident))
+        of = lambda c: self.engine.spark.createDataFrame([(ident,)], f"{c} string")
+
+        def leave(t: Transaction) -> None:
+            t.replace_keys("sysAnalyticsSteps", of("AnalyticsId"))
+            t.replace_keys("sysAnalytics", of("Id"))
+
+        self.engine.store.transact(leave)
         self._triggers.pop(ident, None)
         self._last_run.pop(ident, None)
 
@@ -417,7 +455,7 @@ class AnalyticsService:
 
     def _watch(self, p: Program) -> None:
         if p.interval < 0:
-            self._triggers[p.id] = triggers.triggers_of(self.engine.spark, p, self.engine.options.compat)
+            self._triggers[p.id] = triggers.triggers_of(self.engine.spark, p, self.engine.options.compat, self._schemas())
 
     def on_events(self, events: DataFrame) -> list[str]:
         """Run the programs (interval below 0) that the events start, each at most once; throttled ones are left out."""

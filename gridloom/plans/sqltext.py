@@ -74,16 +74,79 @@ def variables(text: str) -> list[str]:
     return [m.strip() for m in _VARIABLE.findall(text)]
 
 
-def tables_and_columns(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
-    """Names of the relations and the columns a query mentions."""
-    text = plan_of(spark, _POSITION.sub(r":p\1", bind(sql, {})[0])).treeString()
-    tables = {m.split(",")[0].strip().split(".")[-1].strip("`") for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", text)}
-    columns = {m.split(".")[-1].strip("`") for m in re.findall(r"'((?:[A-Za-z_`][\w`]*\.)*[A-Za-z_`][\w`]*)", re.sub(r"'Unresolved\w+|'\w+(?=\()|^[\s:+\-|]*'(?:Project|Aggregate|Filter|Join|Sort|GlobalLimit|LocalLimit|Distinct|SubqueryAlias)\b", "", text, flags=re.MULTILINE))}
-    return tables, columns
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _nodes(plan) -> list:
+    """All nodes of a parsed plan, those of subqueries and of WITH, too."""
+    found, left = [], [plan]
+    while left:
+        node = left.pop()
+        found.append(node)
+        left += _each(node.children()) + _each(node.subqueries())
+        if _kind(node) == "UnresolvedWith":
+            left += [c._2() for c in _each(node.cteRelations())]
+    return found
+
+
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """Names of all relations a query reads, but those it defines itself; a name of several parts is given whole."""
+    return _relations(_nodes(plan_of(spark, sql)))
+
+
+def _relations(nodes: list) -> set[str]:
+    own = {c._1().lower() for n in nodes if _kind(n) == "UnresolvedWith" for c in _each(n.cteRelations())}
+    names = {".".join(_each(n.multipartIdentifier())) for n in nodes if _kind(n) == "UnresolvedRelation"}
+    return {n for n in names if n.lower() not in own}
+
+
+def tables_and_columns(spark: SparkSession, sql: str, schemas: Mapping[str, Sequence[str]] | None = None) -> tuple[set[str], list[tuple[str, str | None]]]:
+    """The relations a query reads, and each with the columns it mentions of it (None: any, as of a star or a mere count).
+
+    A column with a qualifier belongs to the relation of that name or alias; one without to the relations whose `schemas` (by
+    name in lower case) have it, or, where one's schema isn't known, to that one as well.
+    """
+    nodes = _nodes(plan_of(spark, _POSITION.sub(r":p\1", bind(sql, {})[0])))
+    tables = _relations(nodes)
+    schemas = {k: {c.lower() for c in v} for k, v in (schemas or {}).items()}
+    alias: dict[str, set[str]] = {}
+    for t in tables:
+        alias.setdefault(t.lower(), set()).add(t)
+    others: set[str] = set()
+    for n in nodes:
+        if _kind(n) == "SubqueryAlias":
+            name, child = n.alias().lower(), n.child()
+            inner = ".".join(_each(child.multipartIdentifier())) if _kind(child) == "UnresolvedRelation" else None
+            if inner in tables:
+                alias.setdefault(name, set()).add(inner)
+            else:
+                others.add(name)
+    pairs: set[tuple[str, str | None]] = set()
+    left = [x for n in nodes for x in _each(n.expressions())]
+    while left:
+        x = left.pop()
+        kind = _kind(x)
+        if kind == "UnresolvedStar":
+            pairs |= {(t, None) for t in tables}
+        elif kind == "UnresolvedAttribute":
+            parts = _each(x.nameParts())
+            c = parts[-1]
+            if len(parts) > 1 and parts[-2].lower() in alias:
+                pairs |= {(t, c) for t in alias[parts[-2].lower()]}
+            elif len(parts) == 1 or parts[-2].lower() not in others:
+                pairs |= {(t, c) for t in tables if c.lower() in schemas.get(t.lower(), (c.lower(),))}
+        left += _each(x.children())
+    pairs |= {(t, None) for t in tables if not any(p[0] == t for p in pairs)}
+    return tables, sorted(pairs, key=lambda p: (p[0], p[1] or ""))
 
 
 def tables_and_aggregates(sql: str) -> list[tuple[str, str]]:
-    """The plain reading: words after FROM and JOIN, each with every word in AVG, SUM, COUNT, MIN or MAX of one word."""
+    """Fixed behaviour of `compat`, which must find what the succeeded store finds: words after FROM and JOIN, each with every word in AVG, SUM, COUNT, MIN or MAX of one word."""
     tables = list(dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+\[?(\w+)\]?", sql, re.IGNORECASE)))
     columns = list(dict.fromkeys(re.findall(r"\b(?:AVG|SUM|COUNT|MIN|MAX)\s*\(\s*\[?(\w+)\]?\s*\)", sql, re.IGNORECASE)))
     return [(t, c) for t in tables for c in columns]

@@ -5,6 +5,7 @@ Readings are the events of a user; two states of a table are the last event per
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from gridloom.functions import codecs
 from gridloom.functions.text import fold_guid
 from gridloom.operators import diff, integrity, render, search, series
-from gridloom.options import Interpolation, StepType
+from gridloom.options import EngineOptions, Interpolation, StepType
 from gridloom.plans import program as programs
-from gridloom.plans import sqltext, triggers
+from gridloom.plans import sqltext, triggers, validate
 from gridloom.plans.program import Program, Scripts, Step
+from gridloom.plans.service import AnalyticsService, Engine, EntityService
 from gridloom.runtime import materialize, shared_folder, table
 from gridloom.sources.catalog import Catalog
 from gridloom.spec import Child, Embed, EntitySpec, Parent
@@ -41,40 +43,68 @@ def _views(spark: SparkSession, folder: str, *names: str) -> None:
         table(spark, folder, n).createOrReplaceTempView(n)
 
 
+def _scratch(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
+
+
+def _engine(spark: SparkSession, clock: Callable[[], datetime] | None = None) -> Engine:
+    """An engine on a store of its own, with all features; by default a minute passes with each look at the clock."""
+    ticks = itertools.count()
+    return Engine(spark, EngineOptions(root=_scratch(spark, "store")).with_all(), clock=clock or (lambda: datetime(2024, 1, 22) + timedelta(minutes=next(ticks))))
+
+
+def _service(spark: SparkSession, folder: str, name: str) -> EntityService:
+    """The service of a test table, which stays where it is."""
+    t = table(spark, folder, name)
+    return _engine(spark).entity(EntitySpec(name, t.schema, t.columns[0]), lambda: table(spark, folder, name))
+
+
 # entities: reading
 
 
 @_query
 def crud_find_predicate(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").where((F.col("c_acctbal") > 5000) & (F.col("c_mktsegment") == "BUILDING"))
+    return _service(spark, folder, "customer").find((F.col("c_acctbal") > 5000) & (F.col("c_mktsegment") == "BUILDING"))
 
 
 @_query
 def crud_find_page(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").where("o_totalprice > 1000").orderBy("o_orderkey").offset(100).limit(50)
+    return _service(spark, folder, "orders").find("o_totalprice > 1000", skip=100, limit=50)
 
 
 @_query
 def crud_find_by_id(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").where("c_custkey = 42").limit(1)
+    s = _service(spark, folder, "customer")
+    return spark.createDataFrame([r for r in [s.find_by_id(42)] if r], s.spec.schema)
+
+
+@_query
+def crud_find_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _service(spark, folder, "supplier").find_all()
 
 
 @_query
 def crud_count(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 100000).alias("n_large"))
+    s = _service(spark, folder, "orders")
+    return spark.createDataFrame([(s.count(), s.count("o_totalprice > 100000"))], "n bigint, n_large bigint")
 
 
 @_query
 def crud_in_list(spark: SparkSession, folder: str) -> DataFrame:
-    regions = table(spark, folder, "region").where(F.col("r_name").isin("ASIA", "EUROPE"))
-    nations = table(spark, folder, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
-    return table(spark, folder, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_nationkey")
+    regions = [r[0] for r in _service(spark, folder, "region").find(F.col("r_name").isin("ASIA", "EUROPE")).select("r_regionkey").collect()]
+    nations = [r[0] for r in _service(spark, folder, "nation").find(F.col("n_regionkey").isin(regions)).select("n_nationkey").collect()]
+    return _service(spark, folder, "customer").find(F.col("c_nationkey").isin(nations)).select("c_custkey", "c_nationkey")
+
+
+@_query
+def crud_query_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return _service(spark, folder, "supplier").query("WITH rich AS (SELECT * FROM supplier WHERE s_acctbal > @p0) SELECT * FROM rich", [5000.0])
 
 
 @_query
 def crud_dynamic_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of unknown columns as JSON texts."""
-    n = table(spark, folder, "nation")
+    n = _service(spark, folder, "nation").find_all()
     return n.select("n_nationkey", F.to_json(F.struct("n_name", "n_regionkey")).alias("data"), F.lit(1.0).alias("score"))
 
 
@@ -242,23 +272,78 @@ def cdc_event_map(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("EntityId", "Operation", F.array_join(F.array_sort(F.map_keys("Changed")), ",").alias("changed"), F.col("Changed")["props"]["new"].alias("new_props"))
 
 
+def _written(spark: SparkSession, folder: str, write: Callable[[EntityService, DataFrame], object], **features) -> EntityService:
+    """A service whose table holds the older state, after a write of the newer one."""
+    old, new = _states(spark, folder)
+    service = _engine(spark).entity(EntitySpec("states", old.schema, **features))
+    service.insert(old)
+    write(service, new)
+    return service
+
+
 @_query
 def upsert_merge(spark: SparkSession, folder: str) -> DataFrame:
-    old, new = _states(spark, folder)
-    return old.join(new, "Id", "left_anti").unionByName(new)
+    return _written(spark, folder, lambda s, new: s.upsert(new)).find_all()
 
 
 @_query
 def update_existing(spark: SparkSession, folder: str) -> DataFrame:
-    old, new = _states(spark, folder)
-    n = new.select("Id", F.col("value").alias("nv"), F.col("props").alias("np"), F.lit(True).alias("matched"))
-    return old.join(n, "Id", "left").select("Id", F.coalesce("nv", "value").alias("value"), F.coalesce("np", "props").alias("props"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    return _written(spark, folder, lambda s, new: s.update(new)).find_all()
 
 
 @_query
 def delete_anti(spark: SparkSession, folder: str) -> DataFrame:
+    return _written(spark, folder, lambda s, new: s.delete(new)).find_all()
+
+
+@_query
+def write_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What each kind of write says it did, and what is left after all rows were removed."""
+    old, new = _states(spark, folder)
+    s = _engine(spark).entity(EntitySpec("states", old.schema))
+    done = [("insert", s.insert(old)), ("update", s.update(new)), ("upsert", s.upsert(new)), ("delete", s.delete(old)), ("delete_all", s.delete_all()), ("left", s.count())]
+    return spark.createDataFrame(done, "step string, n bigint")
+
+
+@_query
+def write_change_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The change log of an insert and an upsert."""
+    s = _written(spark, folder, lambda s, new: s.upsert(new), tracked=("props",))
+    return s.engine.system("sysChangeLog").groupBy("PropertyName", "ChangeType", "ChangedBy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def write_events(spark: SparkSession, folder: str) -> DataFrame:
+    """What a handler was told, and one that unsubscribed before the second write."""
+    told: list[tuple[str, str, int]] = []
+
+    def handler(name: str) -> Callable[[DataFrame], None]:
+        return lambda events: told.extend((name, r["Operation"], r["count"]) for r in events.groupBy("Operation").count().collect())
+
     old, new = _states(spark, folder)
-    return old.join(new.select("Id"), "Id", "left_anti")
+    s = _engine(spark).entity(EntitySpec("states", old.schema))
+    stays, leaves = handler("stays"), handler("leaves")
+    s.engine.bus.subscribe(stays)
+    s.engine.bus.subscribe(leaves)
+    s.insert(old)
+    s.engine.bus.unsubscribe(leaves)
+    s.upsert(new)
+    return spark.createDataFrame(told, "handler string, operation string, n bigint")
+
+
+@_query
+def write_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations that an insert and an upsert record, unchanged values too."""
+    s = _written(spark, folder, lambda s, new: s.upsert(new), series=("value",))
+    return s.engine.samples().groupBy(F.col("EntityId").alias("Id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def write_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """The hash chain after an insert and an upsert; every read is verified against it."""
+    s = _written(spark, folder, lambda s, new: s.upsert(new), integrity=("props",))
+    log = s.engine.system("sysIntegrityLog").groupBy("EntityId").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("PreviousHash") == "").alias("firsts"))
+    return log.select(F.col("EntityId").alias("Id"), "links", "firsts", F.lit(s.verify().count()).alias("wrong"))
 
 
 # integrity
@@ -447,6 +532,69 @@ def prog_step_join(spark: SparkSession, folder: str) -> DataFrame:
     return heads.join(steps, "id").groupBy("id", "program_name").agg(F.count(F.lit(1)).alias("n_steps"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_order", "operation"))), lambda x: x["operation"]), ",").alias("operations"))
 
 
+_ORDERS = "SELECT count(*) AS n FROM orders"
+
+
+@_query
+def val_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The first error of programs that are wrong, each in its own way."""
+    schemas = {n: table(spark, folder, n).schema for n in ("orders", "customer")}
+    one = Step(StepType.VARIABLE, "1", "x")
+    wrong = {
+        "01 none": [],
+        "02 type": [Step("Nonsense", "1", "x")],
+        "03 empty": [Step(StepType.SQL, "", "x")],
+        "04 variable": [one, Step(StepType.SCRIPT, "{y} + 1", "z")],
+        "05 array": [one, Step(StepType.SCRIPT, "2", "xs[1]")],
+        "06 command": [Step(StepType.SQL, "DROP TABLE orders", "x")],
+        "07 table": [Step(StepType.SQL, "SELECT 1 AS n FROM nowhere", "n")],
+        "08 column": [Step(StepType.SQL, "SELECT max(price) AS n FROM orders", "n")],
+        "09 series": [Step(StepType.SERIES, "orders,1", "x")],
+        "10 boolean": [one, Step(StepType.CONDITION, "1 + 1", "1")],
+        "11 jump": [one, Step(StepType.CONDITION, "true", "7")],
+        "12 loop": [one, Step(StepType.CONDITION, "true", "1", 0)],
+        "13 last": [Step(StepType.SCRIPT, "1", "")],
+        "14 fine": [Step(StepType.SQL, "WITH w AS (SELECT o.o_custkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey) SELECT count(*) AS n FROM w", "n")],
+    }
+    rows = [(name, (validate.check(spark, Program(name, steps), schemas) or ["none"])[0].split(" in expression")[0]) for name, steps in wrong.items()]
+    orders = validate.check(spark, Program("order", [Step(StepType.SQL, _ORDERS, "n")]), schemas, orders=[3])
+    return spark.createDataFrame([*rows, ("15 order", orders[0])], "name string, error string")
+
+
+@_query
+def prog_service(spark: SparkSession, folder: str) -> DataFrame:
+    """Programs kept, checked, run on demand, by interval and on changes, throttled, after a restart, and deleted."""
+    now = [datetime(2024, 1, 22)]
+    e = _engine(spark, lambda: now[0])
+    for name in ("orders", "customer"):
+        e.entity(EntitySpec(name, table(spark, folder, name).schema, table(spark, folder, name).columns[0]), lambda n=name: table(spark, folder, n))
+    state = _states(spark, folder)[0]
+    states = e.entity(EntitySpec("states", state.schema))
+    a = AnalyticsService(e)
+    steps = [Step(StepType.SQL, _ORDERS, "n")]
+    demand, every = a.add(Program("demand", steps)), a.add(Program("every", steps, 60))
+    change = a.add(Program("change", [Step(StepType.SQL, "SELECT count(*) AS n FROM states", "n")], -1))
+    out = [("execute", a.execute(demand)), ("verify", str(a.verify(demand)[0])), ("zero", str(a.value(demand)))]
+    out += [("tick", str(len(a.tick()))), ("tick again", str(len(a.tick()))), ("every", a.value(every))]
+    states.insert(state)
+    out.append(("change", a.value(change)))
+    states.delete(state)
+    out.append(("throttled", a.value(change)))
+    a.close()
+    now[0] += timedelta(seconds=5)
+    again = AnalyticsService(e)
+    again.on_events(e.system("sysChangeEvents"))
+    out.append(("restarted in between", again.value(change)))
+    now[0] += timedelta(seconds=60)
+    again.on_events(e.system("sysChangeEvents"))
+    out += [("later", again.value(change)), ("tick later", str(len(again.tick())))]
+    log = e.system("sysChangeLog").where("TableName = 'sysAnalytics'")
+    out.append(("value log", ",".join(f"{r[0]}>{r[1]}" for r in log.where(F.col("EntityId") == change).orderBy("ChangedAt").select("OriginalValue", "NewValue").collect())))
+    again.delete(every)
+    out.append(("left", ",".join(r[0] for r in e.system("sysAnalytics").orderBy("Name").select("Name").collect())))
+    return spark.createDataFrame(out, "step string, value string")
+
+
 # triggers and streams
 
 
@@ -474,10 +622,6 @@ def trigger_throttle(spark: SparkSession, folder: str) -> DataFrame:
     return triggers.throttled(e, 6 * 3600).groupBy("AnalyticsId").agg(F.count(F.lit(1)).alias("runs"), F.max("Timestamp").alias("last_run"))
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
-
-
 @_query
 def stream_trigger_feed(spark: SparkSession, folder: str) -> DataFrame:
     """The same matches, of the events read back as a stream."""
@@ -493,21 +637,32 @@ def stream_trigger_feed(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("AnalyticsId string, EntityId string, Operation string, batch int").parquet(out).drop("batch")
 
 
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+
+
+def _last_batch(spark: SparkSession, streamed: DataFrame, label: str) -> DataFrame:
+    """The complete result of a stream after its last batch, each batch written whole to the shared folder."""
+    out = _scratch(spark, label)
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.append(number)
+
+    query = streamed.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", _scratch(spark, "stream")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(streamed.schema).parquet(f"{out}/batch={max(done)}")
+
+
 @_query
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Counts per day and kind of event, kept up to date as a stream and read at its end."""
-    name = f"windows_{_scratch(spark, 'x').rsplit('-', 1)[1]}"
-    schema = table(spark, folder, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    got = feed.windowed(source, "ts", "1 day", "1 day", ["event_type"], "value")
-    query = got.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _scratch(spark, "stream")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("event_type", "window_start", "n", F.round("total", 4).alias("total"))
+    got = _last_batch(spark, feed.windowed(_event_stream(spark, folder), "ts", "1 day", "1 day", ["event_type"], "value"), "windows")
+    return got.select("event_type", "window_start", "n", F.round("total", 4).alias("total"))
 
 
 @_query
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions of users with pauses of up to six hours."""
-    return feed.sessions(table(spark, folder, "events"), "ts", "6 hours", "1 day", ["user_id"]).select("user_id", "session_start", "n")
-
-
+    """Sessions of users with pauses of up to six hours, kept up to date as a stream and read at its end."""
+    return _last_batch(spark, feed.sessions(_event_stream(spark, folder), "ts", "6 hours", "1 day", ["user_id"]), "sessions").select("user_id", "session_start", "n")

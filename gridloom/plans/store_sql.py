@@ -80,7 +80,7 @@ SQL = {
         UNION ALL SELECT 'value', kind, count(*) FROM pairs WHERE ov IS DISTINCT FROM nv GROUP BY ALL""",
     "cdc_event_map": f"WITH {_EVENTS} SELECT EntityId, Operation, changed, new_props FROM changes",
     "upsert_merge": f"WITH {_STATES} SELECT * FROM old WHERE Id NOT IN (SELECT Id FROM new) UNION ALL SELECT * FROM new",
-    "update_existing": f"WITH {_STATES} SELECT o.Id, coalesce(n.value, o.value) AS value, coalesce(n.props, o.props) AS props, n.Id IS NOT NULL AS matched FROM old o LEFT JOIN new n ON o.Id = n.Id",
+    "update_existing": f"WITH {_STATES} SELECT o.Id, CASE WHEN n.Id IS NULL THEN o.value ELSE n.value END AS value, CASE WHEN n.Id IS NULL THEN o.props ELSE n.props END AS props FROM old o LEFT JOIN new n ON o.Id = n.Id",
     "delete_anti": f"WITH {_STATES} SELECT * FROM old WHERE Id NOT IN (SELECT Id FROM new)",
     "integrity_hash": f"SELECT c_custkey, {_HASH.format('c_name')} AS name_hash, {_HASH.format('c_custkey')} AS key_hash FROM customer",
     "integrity_chain": f"WITH {_CHAIN} SELECT * FROM chain",
@@ -117,4 +117,34 @@ SQL = {
     "stream_sessions": """WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS starts FROM events),
         s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM m)
         SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, no""",
+    "crud_find_all": "SELECT * FROM supplier",
+    "crud_query_entities": "SELECT * FROM supplier WHERE s_acctbal > 5000",
+    "write_counts": f"""WITH {_STATES}, b AS (SELECT count(*) AS n FROM old JOIN new USING (Id)), o AS (SELECT count(*) AS n FROM old), w AS (SELECT count(*) AS n FROM new)
+        SELECT 'insert' AS step, n FROM o UNION ALL SELECT 'update', n FROM b UNION ALL SELECT 'upsert', n FROM w UNION ALL SELECT 'delete', n FROM o
+        UNION ALL SELECT 'delete_all', w.n - b.n FROM w, b UNION ALL SELECT 'left', 0""",
+    "write_change_log": f"""WITH {_STATES}, k AS (SELECT 'Insert' AS ChangeType FROM old WHERE props IS NOT NULL
+            UNION ALL SELECT CASE WHEN o.Id IS NULL THEN 'Insert' ELSE 'Update' END FROM new n LEFT JOIN old o ON n.Id = o.Id WHERE n.props IS DISTINCT FROM o.props)
+        SELECT 'props' AS PropertyName, ChangeType, 'System' AS ChangedBy, count(*) AS n FROM k GROUP BY ChangeType""",
+    "write_events": f"""WITH {_STATES}, e AS (SELECT 'stays' AS handler, 'Insert' AS operation, count(*) AS n FROM old
+            UNION ALL SELECT 'leaves', 'Insert', count(*) FROM old
+            UNION ALL SELECT 'stays', CASE WHEN o.Id IS NULL THEN 'Insert' ELSE 'Update' END, count(*) FROM new n LEFT JOIN old o ON n.Id = o.Id
+                WHERE o.Id IS NULL OR n.props IS DISTINCT FROM o.props OR n.value IS DISTINCT FROM o.value GROUP BY ALL)
+        SELECT * FROM e""",
+    "write_series": f"WITH {_STATES} SELECT Id, count(*) AS n FROM (SELECT Id FROM old UNION ALL SELECT Id FROM new) x GROUP BY Id",
+    "write_chain": f"""WITH {_STATES} SELECT Id, count(*) AS links, 1::BIGINT AS firsts, 0 AS wrong FROM (SELECT Id FROM old UNION ALL SELECT Id FROM new) x GROUP BY Id""",
+    "val_messages": """SELECT * FROM (VALUES
+        ('01 none', 'Analytics must have at least one step.'), ('02 type', 'Step 1 (Nonsense): Invalid step type Nonsense.'),
+        ('03 empty', 'Step 1 (SqlQuery): Expression cannot be null or empty.'), ('04 variable', 'Step 2 (CSharp): Unknown variable y'),
+        ('05 array', 'Step 2 (CSharp): Array xs must be defined before index access'), ('06 command', 'Step 1 (SqlQuery): Only SELECT queries are allowed.'),
+        ('07 table', 'Step 1 (SqlQuery): Invalid table reference nowhere'), ('08 column', 'Step 1 (SqlQuery): Property price does not exist on table orders'),
+        ('09 series', 'Step 1 (Timeseries): Timeseries expression must have 5 to 7 components: tableName,entityId,propertyName,start,end[,interval,method]'),
+        ('10 boolean', 'Step 2 (Condition): Condition script must return a boolean value'),
+        ('11 jump', 'Step 2 (Condition): Invalid GoTo step number 7. Must be between 1 and 2, not current step'),
+        ('12 loop', 'Step 2 (Condition): MaxLoop must be positive'), ('13 last', 'Step 1 (CSharp): Last CSharp step must have a ResultVariable'), ('14 fine', 'none'),
+        ('15 order', 'Step 3 (SqlQuery): Incorrect order 3. Expected 1.')) t(name, error)""",
+    "prog_service": f"""WITH {_STATES}, o AS (SELECT count(*)::VARCHAR AS n FROM orders), s AS (SELECT count(*)::VARCHAR AS n FROM old)
+        SELECT 'execute' AS step, n AS value FROM o UNION ALL SELECT 'verify', 'True' UNION ALL SELECT 'zero', n FROM o
+        UNION ALL SELECT 'tick', '1' UNION ALL SELECT 'tick again', '0' UNION ALL SELECT 'every', n FROM o UNION ALL SELECT 'change', n FROM s
+        UNION ALL SELECT 'throttled', n FROM s UNION ALL SELECT 'restarted in between', n FROM s UNION ALL SELECT 'later', '0' UNION ALL SELECT 'tick later', '1'
+        UNION ALL SELECT 'value log', '0>' || n || ',' || n || '>0' FROM s UNION ALL SELECT 'left', 'change,demand'""",
 }

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.options import StepType
 from gridloom.plans import sqltext
 from gridloom.plans.program import Program
 
+#: Triggers that go to every task.
+MAX_BROADCAST = 100_000
 TRIGGERS = "AnalyticsId string, TableName string, PropertyName string"
 
 
-def triggers_of(spark: SparkSession, program: Program, compat: bool = False) -> list[tuple[str, str | None]]:
+def triggers_of(spark: SparkSession, program: Program, compat: bool = False, schemas: Mapping[str, StructType] | None = None) -> list[tuple[str, str | None]]:
     """(table, column) pairs a program depends on; a column of None means any.
 
     Series steps: the table and property they name. Queries: what their plan reads; with `compat` the words after FROM and JOIN
@@ -28,8 +33,7 @@ def triggers_of(spark: SparkSession, program: Program, compat: bool = False) ->
             if compat:
                 found += sqltext.tables_and_aggregates(s.config)
             else:
-                tables, columns = sqltext.tables_and_columns(spark, s.config)
-                found += [(t, c) for t in sorted(tables) for c in (sorted(columns) or [None])]
+                found += sqltext.tables_and_columns(spark, s.config, {t.lower(): x.names for t, x in (schemas or {}).items()})[1]
     return list(dict.fromkeys(found))
 
 
@@ -37,10 +41,11 @@ def matches(events: DataFrame, triggers: DataFrame) -> DataFrame:
     """AnalyticsId, EventId of each program and each event that starts it.
 
     Inserts and deletions start it by table (regardless of case), updates if a trigger's column changed as well. Triggers are
-    few (steps of programs) and broadcast; what is proven of them is checked by the caller.
+    few (steps of programs); up to MAX_BROADCAST of them are broadcast, more meet the events by table.
     """
     t = triggers.select("AnalyticsId", F.lower("TableName").alias("t"), "PropertyName")
-    hit = events.join(t, F.lower(events["TableName"]) == t["t"])
+    few = t.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    hit = events.join(F.broadcast(t) if few else t, F.lower(events["TableName"]) == t["t"])
     changed = (F.col("Operation") != "Update") | F.col("PropertyName").isNull() | F.map_contains_key(F.col("Changed"), F.coalesce("PropertyName", F.lit("")))
     return hit.where(changed).select("AnalyticsId", "EventId").distinct()
 

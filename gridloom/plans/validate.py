@@ -115,7 +115,7 @@ def _sql_problems(spark: SparkSession, s: Step, known: dict[str, StructType], de
             elif c.lower() not in {x.lower() for x in known[t.lower()].names}:
                 out.append(f"Property {c} does not exist on table {t}")
         return out
-    tables, columns = sqltext.tables_and_columns(spark, s.config)
+    tables = sqltext.relations(spark, text)
     unknown = [t for t in sorted(tables) if t.lower() not in known and t not in defined]
     if unknown:
         return [f"Invalid table reference {t}" for t in unknown]

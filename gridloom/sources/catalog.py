@@ -28,11 +28,8 @@ class Catalog:
 
     def ensure(self) -> None:
         """Make all tables that aren't there, the system's too."""
-        for name, schema in SYSTEM.items():
-            self.store.ensure(name, schema)
-        for spec in self._specs.values():
-            if spec.table.lower() not in self._others:
-                self.store.ensure(spec.table, spec.schema)
+        own = {s.table: s.schema for k, s in self._specs.items() if k not in self._others}
+        self.store.ensure(SYSTEM | own)
 
     def spec(self, table: str) -> EntitySpec | None:
         return self._specs.get(table.lower())

@@ -11,6 +11,7 @@ from gridloom.operators.integrity import DataIntegrityError
 from gridloom.options import EngineOptions, StepType
 from gridloom.plans.program import Program, Step
 from gridloom.plans.service import AnalyticsService, Engine
+from gridloom.plans.sqltext import tables_and_columns
 from gridloom.sources.store import ConcurrentCommit
 from gridloom.spec import Embed, EntitySpec
 
@@ -102,11 +103,75 @@ def test_tampering_is_noticed(engine):
 def test_conflicting_commits(engine):
     engine.entity(SENSORS).insert([row(1, 20)])
     store = engine.store
-    seen = store.version("Sensors")
-    store.append("Sensors", store.read("Sensors").limit(0))
+    before, seen = store.version(), []
+
+    def work(t):
+        seen.append(t.rows("Sensors").count())
+        if len(seen) == 1:  # another writer
+            store.append("Sensors", engine.spark.createDataFrame([("other", 1, None)], SENSORS.schema))
+        t.replace("Sensors", t.rows("Sensors"))
+
+    store.transact(work)
+    assert seen == [1, 2] and store.read("Sensors").count() == 2
+    assert store.read("Sensors", before).count() == 1
+
+    def blind(t):  # relies on nothing, so it follows the other's commit as it is
+        seen.append(0)
+        t.append("Sensors", store.read("Sensors").limit(1))
+        store.append("Sensors", store.read("Sensors").limit(1))
+
+    store.transact(blind)
+    assert seen == [1, 2, 0] and store.read("Sensors").count() == 4
     with pytest.raises(ConcurrentCommit):
-        store._commit("Sensors", seen, [], SENSORS.schema)
-    assert store.read("Sensors", seen).count() == 1
+        store.transact(lambda t: (t.replace("Sensors", t.rows("Sensors")), store.append("Sensors", store.read("Sensors").limit(1))))
+    assert store.vacuum(1) > 0 and store.read("Sensors").count() == 8
+
+
+def test_two_upserts_of_one_new_key(engine):
+    s = engine.entity(SENSORS)
+    clock = engine.clock
+
+    def other_writer():
+        engine.clock = clock
+        s.upsert([row(7, 1)])
+        return clock()
+
+    engine.clock = other_writer
+    s.upsert([row(7, 2)])
+    assert [r["Temperature"] for r in s.find_all().collect()] == [2]
+    assert [r["ChangeType"] for r in engine.system("sysChangeLog").orderBy("ChangedAt").collect()] == ["Insert", "Update"]
+
+
+def test_only_touched_files_are_written_anew(engine):
+    s = engine.entity(SENSORS)
+    s.insert([row(1, 20)])
+    s.insert([row(2, 20)])
+    first = engine.store._tables_at(engine.store.version())["Sensors"]["parts"]
+    s.update([row(2, 21)])
+    assert first[0] in engine.store._tables_at(engine.store.version())["Sensors"]["parts"]
+    assert {r["Id"]: r["Temperature"] for r in s.find_all().collect()} == {"sensor1": 20, "sensor2": 21}
+
+
+def test_queries_read_registered_tables_only(engine, tmp_path):
+    s = engine.entity(SENSORS)
+    s.insert([row(1, 20)])
+    assert engine.query("WITH w AS (SELECT Id FROM sensors) SELECT count(*) AS n FROM w").first()[0] == 1
+    engine.spark.range(3).write.parquet(str(tmp_path / "other.parquet"))
+    for sql in (f"SELECT * FROM parquet.`{tmp_path}/other.parquet`", "SELECT * FROM sysChangeLog", f"SELECT Id FROM Sensors WHERE 1 IN (SELECT id FROM parquet.`{tmp_path}/other.parquet`)"):
+        with pytest.raises(ValueError, match="Invalid table reference"):
+            engine.query(sql)
+    assert AnalyticsService(engine).verify(Program("p", [Step(StepType.SQL, "WITH w AS (SELECT Id FROM Sensors) SELECT count(*) AS n FROM w", "n")])) == (True, [])
+
+
+def test_tables_and_columns_of_queries(spark):
+    wide = "SELECT " + ", ".join(f"c{i}" for i in range(60)) + " FROM t"
+    assert tables_and_columns(spark, wide)[1] == sorted(("t", f"c{i}") for i in range(60))
+    sql = "WITH w AS (SELECT a.x, sum(b.y) AS s FROM one a JOIN two b ON a.k = b.k GROUP BY a.x) SELECT x, s FROM w WHERE s > (SELECT max(z) FROM three)"
+    known = {"one": ["k", "x"], "two": ["k", "y"], "three": ["z"]}
+    tables, pairs = tables_and_columns(spark, sql, known)
+    assert tables == {"one", "two", "three"}
+    assert set(pairs) >= {("one", "x"), ("one", "k"), ("two", "k"), ("two", "y"), ("three", "z")} and ("two", "x") not in pairs and ("one", "y") not in pairs
+    assert tables_and_columns(spark, "SELECT count(*) AS n FROM t")[1] == [("t", None)]
 
 
 def test_programs(engine):
