@@ -1,8 +1,9 @@
 """The reading level of each document's prose (problem 10).
 
-Words' syllables are counted by rules on vowel groups, as hyphenation goes. Each sentence gets the grades of
-several classic formulas, of which the median counts; the document's grade is the median over its words of the
-grades of their sentences, so a few sentences of another level don't move it.
+Words' syllables come from hyphenation patterns (`hyphenation`). Each sentence gets the grades of several classic
+formulas as they were published for its language, of which the median counts; the document's grade is the median over its
+words of the grades of their sentences, so a few sentences of another level don't move it. The grades at which levels
+begin are fitted on documents labelled by hand.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.hyphenation import syllables
 from gridloom.llm.prose import passages, text_cells
 
 #: Words of prose a document needs for a level.
 MIN_WORDS = 40
-#: Grades from which levels 2 and 3 begin, by language: where the grades of documents labelled by hand part.
-BOUNDS = {"en": (5.0, 22.0), "de": (3.2, 16.0), "es": (4.8, 15.3)}
+#: Grades from which levels 2 and 3 begin, by language, where no labels are given or those given leave a choice: fitted on the labels of sf0.1.
+BOUNDS = {"en": (5.3, 21.4), "de": (3.8, 16.2), "es": (5.4, 14.6)}
+#: Labelled documents the bounds are fitted on, at most (those with the least hash of their key).
+MAX_LABELS = 4_000
 #: Words whose counts a process remembers.
 REMEMBERED = 200_000
 _ROWS = 512
@@ -36,53 +40,39 @@ FUNCTION_WORDS = {
     "es": frozenset("el la los las y es son un una de del con por para en que nosotros ella se su sus al cuando pero antes este esta cada nuestro".split()),
 }
 
-_GROUP = {
-    "en": regex.compile(r"[aeiouyàâäéèêëîïôöùûü]+"),
-    # Diphthongs are one syllable, other neighbouring vowels two.
-    "de": regex.compile(r"aa|ee|oo|ie|ei|ai|au|äu|eu|ey|ay|ui|[aeiouyäöüéèà]"),
-    # A weak vowel without accent joins its neighbour, two strong ones part; u is silent in qu, gue and gui.
-    "es": regex.compile(r"[iuüy]?[aeoáéó][iuüy]?(?![áéíóú])|[iuü]?[aeoáéóiuíúüy]"),
-}
+# Flesch's scores with the school grades he gave them, and Anderson's long words a sentence with theirs.
+FLESCH = [(0, 17.0), (30, 16.0), (50, 12.0), (60, 9.0), (70, 7.5), (80, 6.5), (90, 5.5), (100, 4.5)]
+RIX = [(0.0, 1), (0.2, 2), (0.5, 3), (0.8, 4), (1.3, 5), (1.8, 6), (2.4, 7), (3.0, 8), (3.7, 9), (4.5, 10), (5.3, 11), (6.2, 12), (7.2, 13)]
 
 
-def syllables(word: str, lang: str = "en") -> int:
-    """Syllables of a word by its language's rules; at least one."""
-    w = word.lower()
-    if lang == "es":
-        w = regex.sub(r"qu(?=[eiéí])", "q", regex.sub(r"gu(?=[eiéí])", "g", w))
-        return max(1, len(_GROUP["es"].findall(w)))
-    if lang == "de":
-        return max(1, len(_GROUP["de"].findall(w)))
-    n = len(_GROUP["en"].findall(w))
-    # A silent e at the end, unless it carries the syllable (-le after a consonant).
-    if w.endswith("e") and n > 1 and not regex.search(r"[^aeiouy]le$", w):
-        n -= 1
-    if regex.search(r"[^td]ed$", w) and n > 1 and not regex.search(r"[aeiouy]ed$", w):
-        n -= 1
-    if regex.search(r"[^aeiouysxzhcg]es$", w) and n > 1 and not regex.search(r"[^aeiouy]les$", w):
-        n -= 1
-    # Vowels that meet but are spoken apart.
-    n += len(regex.findall(r"i[aou](?!n?t|us$)|eo(?=u|l|r)|[iu]ous$|ia(?=l|t|b)|ua(?=l|t)|ying", w.replace("tia", "ta").replace("cia", "ca").replace("sio", "so").replace("tio", "to").replace("cio", "co").replace("gio", "go")))
-    return max(1, n)
-
-
-def grades(words: int, letters: int, sylls: int, poly: int, lang: str) -> list[float]:
-    """School grades of one sentence by classic formulas: its words, letters, syllables, words of three or more syllables."""
-    per, length = sylls / words, letters / words
-    ari = 4.71 * length + 0.5 * words - 21.43
-    coleman = 5.88 * length - 29.6 / words - 15.8
-    lix = words + 100 * poly / words
+def _on_scale(x: float, scale: list[tuple[float, float]]) -> float:
+    """The grade on a scale between whose steps it changes evenly, and beyond whose ends as at the nearest one."""
+    i = min(max(sum(x >= at for at, _ in scale) - 1, 0), len(scale) - 2)
+    (a, g), (b, h) = scale[i], scale[i + 1]
+    return g + (x - a) * (h - g) / (b - a)
+
+
+def grades(words: int, letters: int, sylls: int, poly: int, long: int, mono: int, lang: str) -> list[float]:
+    """School grades of one sentence: its words, letters, syllables, words of three or more syllables, of more than six letters, of one syllable.
+
+    English: Flesch-Kincaid, Gunning's fog, SMOG, ARI, Coleman-Liau. German: the first and third Vienna formula, Amstad's
+    reading ease, Anderson's RIX. Spanish: the reading eases of Fernández Huerta and of Szigriszt, Crawford's, RIX.
+    """
+    per = sylls / words
     if lang == "de":
-        vienna = 19.35 * poly / words + 0.1672 * words + 12.97 * poly / words - 3.27 * (1 if per < 1.2 else 0) - 0.875
-        amstad = (180 - words - 58.5 * per) if words else 0.0
-        return [vienna, (100 - amstad) / 7, ari * 0.8, lix / 5]
+        hard, lengthy, short = 100 * poly / words, 100 * long / words, 100 * mono / words
+        vienna = 0.1935 * hard + 0.1672 * words + 0.1297 * lengthy - 0.0327 * short - 0.875
+        third = 0.2963 * hard + 0.1905 * words - 1.1144
+        return [vienna, third, _on_scale(180 - words - 58.5 * per, FLESCH), _on_scale(long, RIX)]
     if lang == "es":
-        huerta = 206.84 - 60 * per - 1.02 * words
-        smog = 0.74 * (1.043 * math.sqrt(30 * poly) + 3.1291) + 0.49
-        return [(110 - huerta) / 7, smog, ari, lix / 5]
+        huerta, szigriszt = 206.84 - 60 * per - 1.02 * words, 206.835 - 62.3 * per - words
+        crawford = -20.5 / words + 4.9 * per - 3.407
+        return [_on_scale(huerta, FLESCH), _on_scale(szigriszt, FLESCH), crawford, _on_scale(long, RIX)]
     kincaid = 0.39 * words + 11.8 * per - 15.59
     fog = 0.4 * (words + 100 * poly / words)
     smog = 1.043 * math.sqrt(30 * poly) + 3.1291
+    ari = 4.71 * letters / words + 0.5 * words - 21.43
+    coleman = 5.88 * letters / words - 29.6 / words - 15.8
     return [kincaid, fog, smog, ari, coleman]
 
 
@@ -126,13 +116,15 @@ def grade(text: str | None, nb_format: str | None = None, told: str | None = Non
     lang = language([w for s in sentences for w in s], told)
     marks = []
     for words in sentences:
-        letters = sylls = poly = 0
+        letters = sylls = poly = long = mono = 0
         for w in words:
             a, b = _count(w, lang)
             letters += a
             sylls += b
             poly += b > 2
-        marks.append((median(grades(len(words), letters, sylls, poly, lang)), len(words)))
+            long += a > 6
+            mono += b == 1
+        marks.append((median(grades(len(words), letters, sylls, poly, long, mono, lang)), len(words)))
     marks.sort()
     so_far = 0
     for g, n in marks:
@@ -142,19 +134,37 @@ def grade(text: str | None, nb_format: str | None = None, told: str | None = Non
     return total, lang, marks[-1][0]
 
 
-def level(g: float, lang: str) -> int:
+def fit_bounds(graded: list[tuple[str, float, int]]) -> dict[str, tuple[float, float]]:
+    """Bounds from (language, grade, level) of labelled documents.
+
+    A bound is where most labels agree with the side their grade is on. Between neighbouring grades at which as many
+    do, the place nearest to the one in BOUNDS counts, so few labels move a bound no farther than they tell.
+    """
+    out = {}
+    for lang, default in BOUNDS.items():
+        mine = sorted((g, no) for of, g, no in graded if of == lang)
+        bounds = []
+        for i, usual in enumerate(default):
+            # Agreeing labels if the bound lies below the first grade, between two, ... above the last one.
+            agree = [sum(no >= i + 2 for _, no in mine)]
+            for _, no in mine:
+                agree.append(agree[-1] + (1 if no < i + 2 else -1))
+            edges = [-math.inf, *(g for g, _ in mine), math.inf]
+            best = [(edges[k], edges[k + 1]) for k, n in enumerate(agree) if n == max(agree) and edges[k] < edges[k + 1]]
+            nearest = min(((lo + hi) / 2 if math.isfinite(lo + hi) and not lo < usual <= hi else min(max(usual, lo), hi) for lo, hi in best), key=lambda x: abs(x - usual), default=usual)
+            bounds.append(nearest)
+        out[lang] = (bounds[0], max(bounds))
+    return out
+
+
+def level(g: float, lang: str, bounds: dict[str, tuple[float, float]] = BOUNDS) -> int:
     """1 everyday, 2 ordinary technical, 3 learned."""
-    low, high = BOUNDS[lang]
+    low, high = bounds[lang]
     return 1 if g < low else 2 if g < high else 3
 
 
-def reading_levels(documents: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """key, words, language, grade, level_no of each document with `min_words` or more words of prose.
-
-    Needs the columns text, lang and nb_format; formats and languages that are null or unknown are told from the text.
-    Null, empty and blank texts, and those without enough prose, give no row; repeated rows one each. Whole
-    texts are read; only the graded columns leave the scan, and nothing is shuffled.
-    """
+def document_grades(documents: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """key, words, language, grade of each document with `min_words` or more words of prose (see `reading_levels`)."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +176,33 @@ def reading_levels(documents: DataFrame, key: str = "doc_id", min_words: int = M
                     got = grade(*rest)
                     if got and got[0] >= min_words:
                         keys.append(k)
-                        rows.append((*got, level(got[2], got[1])))
-                n, lang, g, no = zip(*rows) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, s.column(0).type), pa.array(n, pa.int32()), pa.array(lang, pa.string()), pa.array(g, pa.float64()), pa.array(no, pa.int32())], ["key", "words", "language", "grade", "level_no"])
+                        rows.append(got)
+                n, lang, g = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, s.column(0).type), pa.array(n, pa.int32()), pa.array(lang, pa.string()), pa.array(g, pa.float64())], ["key", "words", "language", "grade"])
 
-    out = documents.select(key, *[F.make_valid_utf8(c).alias(c) for c in ("text", "nb_format", "lang")]).mapInArrow(run, f"key {kind}, words int, language string, grade double, level_no int")
+    out = documents.select(key, *[F.make_valid_utf8(c).alias(c) for c in ("text", "nb_format", "lang")]).mapInArrow(run, f"key {kind}, words int, language string, grade double")
     return out.withColumnRenamed("key", key)
+
+
+def labelled_grades(documents: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = MAX_LABELS) -> list[tuple[str, float, int]]:
+    """language, grade and level_no of labelled documents: of `most` keys at most, each label of a document."""
+    usable = labels.where("level_no BETWEEN 1 AND 3").dropna(subset=[key]).select(key, "level_no")
+    some = usable.select(key).distinct().orderBy(F.xxhash64(key), key).limit(most)
+    rows = usable.join(F.broadcast(some), key, "left_semi").collect()
+    graded = document_grades(documents.join(F.broadcast(some), key, "left_semi"), key).dropDuplicates([key])
+    found = {r[key]: (r["language"], r["grade"]) for r in graded.collect()}
+    return [(*found[r[key]], r["level_no"]) for r in rows if r[key] in found]
+
+
+def reading_levels(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """key, words, language, grade, level_no of each document with `min_words` or more words of prose.
+
+    Needs the columns text, lang and nb_format; formats and languages that are null or unknown are told from the text.
+    Null, empty and blank texts, and those without enough prose, give no row; repeated rows one each. `labels` (key,
+    level_no) fit the bounds of the levels; without any, BOUNDS hold. Whole texts are read, and nothing is shuffled.
+    """
+    bounds = fit_bounds(labelled_grades(documents, labels, key)) if labels is not None else BOUNDS
+    no = F.lit(None).cast("int")
+    for lang, (low, high) in bounds.items():
+        no = F.when(F.col("language") == lang, F.when(F.col("grade") < low, 1).when(F.col("grade") < high, 2).otherwise(3)).otherwise(no)
+    return document_grades(documents, key, min_words).withColumn("level_no", no)

@@ -59,7 +59,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return level.reading_levels(table(spark, folder, "documents"))
+    return level.reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p7_found, p7_neighbours, p8_ids, p9_mix, p9_shares, p9_whole_shares, p10_found, p10_levels)}
