@@ -3,8 +3,8 @@
 Spikes are found by phase-space thresholding: what a reading is off the level around it, with its first and
 second differences, must lie in an ellipsoid whose axes are robust scatters times the universal threshold.
 What lies outside is taken out of the levels and the search runs again. Then the sides are parted at lasting changes of
-level, and what is more than `APART` scatters off its level there is a candidate, too. Candidates must stand apart from
-the level on either side of them by more than `APART` times the source's usual scatter.
+level, and the ellipsoid is asked once more. Only what lies outside is a candidate; of those, spikes are the readings that
+stand apart from the level on either side of them by more than `APART` times the source's usual scatter.
 """
 
 from __future__ import annotations
@@ -133,11 +133,48 @@ def _off(v: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(b) | (np.abs(a) <= np.abs(b)), a, b)
 
 
+def _phase_space(side: np.ndarray, v: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far each reading is off its level, and the first and second differences of that within its side."""
+    u = _off(v, before, after)
+    u = np.where(np.isnan(u), 0.0, u)
+    d1, d2 = np.zeros_like(u), np.zeros_like(u)
+    inner = side[2:] == side[:-2]
+    d1[1:-1] = np.where(inner, (u[2:] - u[:-2]) / 2, 0)
+    d2[1:-1] = np.where(inner, u[2:] - 2 * u[1:-1] + u[:-2], 0)
+    return u, d1, d2
+
+
+class Ellipsoid:
+    """Of each segment: axes from the scatters of value, first and second difference, times the universal threshold of n readings.
+
+    The ellipse of value and second difference is turned by their usual slope; its axes are such that it reaches as far as
+    either scatter does. So a value beyond its own scatter times the threshold lies outside, whatever its differences are.
+    """
+
+    def __init__(self, sigma: np.ndarray, s1: np.ndarray, s2: np.ndarray, turn: np.ndarray, n: np.ndarray):
+        self.reach2 = 2 * np.log(np.maximum(n, 2))
+        self.cos, self.sin, self.s1 = np.cos(turn), np.sin(turn), s1
+        c2, w2 = self.cos**2, self.sin**2
+        det = c2 * c2 - w2 * w2
+        det = np.where(np.abs(det) < 1e-6, 1e-6, det)
+        a2 = np.maximum((sigma**2 * c2 - s2**2 * w2) / det, sigma**2 * 0.25)
+        b2 = np.maximum((s2**2 * c2 - sigma**2 * w2) / det, s2**2 * 0.25)
+        # Where an axis had to be set, the ellipse is shrunk to the value's own scatter again.
+        shrink = np.minimum(1, sigma**2 / np.maximum(a2 * c2 + b2 * w2, 1e-300))
+        self.a2, self.b2 = a2 * shrink, b2 * shrink
+
+    def outside(self, seg: np.ndarray, u: np.ndarray, d1: np.ndarray | float = 0.0, d2: np.ndarray | float = 0.0) -> np.ndarray:
+        p, q = u * self.cos[seg] + d2 * self.sin[seg], d2 * self.cos[seg] - u * self.sin[seg]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = p**2 / self.a2[seg] + q**2 / self.b2[seg] + np.where(d1 == 0, 0, d1**2 / (self.s1**2)[seg])
+        return (r > self.reach2[seg]) & (np.abs(u) > 0)
+
+
 def phase_space_spikes(seg: np.ndarray, t: np.ndarray, v: np.ndarray, bad: np.ndarray, known: dict | None = None) -> dict[str, np.ndarray]:
     """Candidates among the readings of many sources (seg ascending, t ascending within it), and what they were judged by.
 
     bad: readings known to be wrong, which neither make a level nor count for the scatter.
-    Returns candidate, before, after by reading and sigma by segment.
+    Returns candidate, before, after by reading, sigma by segment and the last ellipsoid.
 
     known: what holds for the whole sources that the segments are blocks of: `usual` (steps) and for each round `scales`
     (sigma, s1, s2, turn, n), all by segment. If `open` is set, what the next round's scales come from is returned instead.
@@ -148,12 +185,7 @@ def phase_space_spikes(seg: np.ndarray, t: np.ndarray, v: np.ndarray, bad: np.nd
     last = out
     for i in range(ROUNDS if known is None else len(known["scales"]) + bool(known.get("open"))):
         before, after, around = levels(side, v, out)
-        u = _off(v, before, after)
-        u = np.where(np.isnan(u), 0.0, u)
-        d1, d2 = np.zeros_like(u), np.zeros_like(u)
-        inner = side[2:] == side[:-2]
-        d1[1:-1] = np.where(inner, (u[2:] - u[:-2]) / 2, 0)
-        d2[1:-1] = np.where(inner, u[2:] - 2 * u[1:-1] + u[:-2], 0)
+        u, d1, d2 = _phase_space(side, v, before, after)
         off, e1, e2 = (np.where(out, np.nan, x) for x in (v - around, d1, d2))
         good = ~out
         if known is None:
@@ -165,34 +197,24 @@ def phase_space_spikes(seg: np.ndarray, t: np.ndarray, v: np.ndarray, bad: np.nd
             return {"off": off, "d1": e1, "d2": e2, "uu": np.where(good, u**2, 0), "ud": np.where(good, u * d2, 0), "changed": out != last}
         else:
             sigma, s1, s2, turn, n = known["scales"][i]
-        reach = np.sqrt(2 * np.log(np.maximum(n, 2)))
-        # The ellipse of value and second difference is turned by their usual slope; its axes follow from both scatters.
-        c2, w2 = np.cos(turn) ** 2, np.sin(turn) ** 2
-        det = c2 * c2 - w2 * w2
-        det = np.where(np.abs(det) < 1e-6, 1e-6, det)
-        a2 = np.maximum((sigma**2 * c2 - s2**2 * w2) / det, sigma**2 * 0.25)
-        b2 = np.maximum((s2**2 * c2 - sigma**2 * w2) / det, s2**2 * 0.25)
-        p = u * np.cos(turn)[seg] + d2 * np.sin(turn)[seg]
-        q = -u * np.sin(turn)[seg] + d2 * np.cos(turn)[seg]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = p**2 / a2[seg] + q**2 / b2[seg] + d1**2 / (s1**2)[seg]
-            new = (r > reach[seg] ** 2) & (np.abs(u) > 0)
-            # The value's own axis: a burst has small differences inside.
-            new |= np.abs(u) > (reach * sigma)[seg]
-        new = (new & (np.abs(u) > 3 * sigma[seg])) | bad
+        shape = Ellipsoid(sigma, s1, s2, turn, n)
+        new = (shape.outside(seg, u, d1, d2) & (np.abs(u) > 3 * sigma[seg])) | bad
         if known is None and (new == out).all():
             break
         last, out = out, new
     # Levels are those of a reading's own side of any lasting change.
     side = np.cumsum(np.concatenate(([0], np.diff(side))) + new_levels(side, v, out, sigma[seg]))
-    before, after, around = levels(side, v, out)
-    out = out | (np.abs(_off(v, before, after)) > APART * np.where(sigma > 0, sigma, np.inf)[seg])
-    before, after, around = levels(side, v, out)
-    alone = np.isnan(before) & np.isnan(after)
+    before, after, _ = levels(side, v, out)
+    far = APART * np.where(sigma > 0, sigma, np.inf)[seg]
+    u, d1, d2 = _phase_space(side, v, before, after)
+    out = out | (shape.outside(seg, u, d1, d2) & (np.abs(u) > far))
+    before, after, _ = levels(side, v, out)
+    candidate, alone = out, np.isnan(before) & np.isnan(after)
     if alone.any():  # too few others between two pauses: the level beyond the pauses must do
         far_before, far_after, _ = levels(seg, v, out)
         before, after = np.where(alone, far_before, before), np.where(alone, far_after, after)
-    return {"candidate": out | alone, "before": before, "after": after, "sigma": sigma}
+        candidate = out | (alone & shape.outside(seg, np.nan_to_num(_off(v, before, after))))
+    return {"candidate": candidate, "before": before, "after": after, "sigma": sigma, "shape": shape}
 
 
 def stuck_runs(seg: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -249,10 +271,11 @@ def judge(t: pa.Table, keys: list[str], known: dict[tuple, dict] | None = None)
         mine = [known[tuple(h.values())] for h in heads]
         held = {"usual": np.array([k["usual"] for k in mine]), "scales": [np.array(x).T for x in zip(*(k["scales"] for k in mine))]}
     got = phase_space_spikes(s1, at1, v1, bad, held)
-    off = np.abs(_off(v, got["before"][of], got["after"][of]))
-    apart = off > APART * got["sigma"][seg]
+    off = _off(v, got["before"][of], got["after"][of])
+    apart = np.abs(off) > APART * got["sigma"][seg]
     # Another reading of the same instant is judged by its own number.
-    spike = apart & (got["candidate"][of] | ~first) & (got["sigma"][seg] > 0)
+    candidate = np.where(first, got["candidate"][of], got["shape"].outside(seg, np.nan_to_num(off)))
+    spike = apart & candidate & (got["sigma"][seg] > 0)
     stuck = runs[of] & (v == v1[of])
     return {"is_spike": spike, "is_stuck": stuck}
 

@@ -4,9 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import number
+from gridloom.operators import faults
 from gridloom.operators.faults import APART, STUCK, faulty_readings
 from gridloom.operators.grid import regular_series, usable_readings
 from gridloom.operators.references import check_references, key_parts, orphans_by_period, parents, references, runs_of_parents
@@ -97,6 +99,32 @@ def test_faults(spark):
     assert (APART, STUCK) == (7.0, 10)
 
 
+def test_spikes_come_from_the_ellipsoid():
+    g = np.random.default_rng(2)
+    v = g.normal(500, 3, 400)
+    v[[50, 51, 200, 399]] += (60, 70, -80, 90)
+    t, seg, bad = np.arange(400) * 600_000_000, np.zeros(400, int), np.zeros(400, bool)
+    got = faults.phase_space_spikes(seg, t, v, bad)
+    assert set(np.nonzero(got["candidate"])[0]) >= {50, 51, 200, 399}
+    # A value beyond its own scatter times the threshold lies outside, whatever its differences and the turn are.
+    for turn in (-1.2, -0.79, 0.0, 0.785, 1.5):
+        for s2 in (0.1, 1.0, 5.0):
+            e = faults.Ellipsoid(*(np.array([x]) for x in (1.0, 1.0, s2, turn, 400.0)))
+            far = np.sqrt(e.reach2[0]) * 1.001
+            for d2 in (-9.0, -2.0, 0.0, 0.5, 9.0):
+                assert e.outside(np.zeros(1, int), np.array([far]), np.zeros(1), np.array([d2])).all()
+
+
+def test_without_the_ellipsoid_there_are_no_spikes(monkeypatch):
+    v = np.random.default_rng(2).normal(500, 3, 400)
+    v[[50, 200]] += 90
+    at = pa.array(np.arange(400) * 600_000_000)
+    t = pa.table({"s": pa.array(["x"] * 400), "at": at, "number": pa.array(v), "is_beyond": pa.array([False] * 400)})
+    assert set(np.nonzero(faults.judge(t, ["s"])["is_spike"])[0]) == {50, 200}
+    monkeypatch.setattr(faults.Ellipsoid, "outside", lambda self, seg, u, d1=0.0, d2=0.0: np.zeros(len(u), bool))
+    assert not faults.judge(t, ["s"])["is_spike"].any()
+
+
 def test_a_small_last_block_has_no_vote(spark):
     """A source cut into blocks is judged as one that isn't, whatever lies in its last few readings."""
     g = np.random.default_rng(3)
