@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.time import micros
+from gridloom.operators.blocks import piece_of, with_bounds
 from gridloom.operators.changes import ATTRIBUTE, distinct_changes, named, transitions
 from gridloom.runtime import hot_groups, materialize
 
-#: Histories of more rows are split into leaf blocks of this size or the root of their length, if that is more:
-#: then neither a block nor the number of blocks of one attribute gets large.
+#: Histories of more rows are cut at quantiles of their instants into leaf blocks of about so many rows or the root of their length,
+#: if that is more; into `blocks.STRETCHES` at most.
 BLOCK_ROWS = 64
 #: Rounds of merging between two written tables; within them Spark reuses the exchange of each round.
 ROUNDS_A_JOB = 3
@@ -26,23 +27,16 @@ ROUNDS_A_JOB = 3
 
 def _blocked(log: DataFrame, steps: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
     """The transitions with `block` (0 for all short histories), and the number of blocks of the longest."""
-    span = [F.min("changed_at").alias("from_at"), F.max("changed_at").alias("to_at")]
-    long = hot_groups(named(log), ATTRIBUTE, block_rows, *span)
+    changes = named(log)
+    long = hot_groups(changes, ATTRIBUTE, block_rows)
     if long is None:
         return steps.withColumn("block", F.lit(0).cast("long")), 1
-    long = materialize(
-        long.select(
-            *ATTRIBUTE,
-            micros("from_at").alias("from_us"),
-            F.ceil(F.col("group_rows") / F.greatest(F.lit(block_rows), F.sqrt("group_rows"))).cast("long").alias("blocks"),
-            (micros("to_at") - micros("from_at") + 1).alias("span_us"),
-        ),
-        "long-histories",
-    )
-    most = long.agg(F.max("blocks")).first()[0]
-    at = F.floor((micros("changed_at") - F.col("from_us")).cast("double") * F.col("blocks") / F.col("span_us"))
-    block = F.least(F.greatest(F.coalesce(at, F.lit(0)), F.lit(0)), F.coalesce(F.col("blocks"), F.lit(1)) - 1).cast("long")
-    return steps.join(long, ATTRIBUTE, "left").select(*steps.columns, block.alias("block")), most
+    rows = changes.select(*ATTRIBUTE, micros("changed_at").alias("at")).join(materialize(long, "long-histories"), ATTRIBUTE)
+    pieces = F.ceil(F.col("group_rows") / F.greatest(F.lit(block_rows), F.sqrt("group_rows")))
+    bounds = materialize(with_bounds(rows, ATTRIBUTE, "at", pieces), "bounds")
+    most = bounds.agg(F.max(F.size("bounds"))).first()[0] + 1
+    placed = steps.join(bounds, ATTRIBUTE, "left").withColumn("at", micros("changed_at"))
+    return placed.select(*steps.columns, piece_of("at").alias("block")), most
 
 
 def _alive(units: DataFrame, blocks: int) -> DataFrame:

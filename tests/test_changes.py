@@ -6,7 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators.history import attribute_history, history_from_snapshots
+from gridloom.functions.time import micros
+from gridloom.operators.blocks import ordered_blocks
+from gridloom.operators.changes import distinct_changes, transitions
+from gridloom.operators.history import _blocked, attribute_history, history_from_snapshots
 from gridloom.operators.replay import apply_changes, current_values
 
 T0 = datetime(2025, 1, 1)
@@ -180,3 +183,20 @@ def test_history_from_snapshots(spark):
     snaps = spark.createDataFrame(rows, "k string, day timestamp_ntz, v string")
     got = {(r["k"], r["value"], r["valid_from"], r["valid_to"]) for r in history_from_snapshots(snaps, ["k"], "day", "v").collect()}
     assert got == {("a", "1", d[0], d[2]), ("a", "2", d[2], None), ("b", "x", d[0], d[1]), ("b", "x", d[2], None)}
+
+
+def test_blocks_of_a_burst_are_small(spark):
+    """Nearly all changes of an attribute within a second, after a lone one years before."""
+    n = 20_000
+    at = F.when(F.col("id") == 0, F.lit("2020-01-01").cast("timestamp_ntz")).otherwise((F.lit(1735689600.0) + F.col("id") / 1e6).cast("timestamp").cast("timestamp_ntz"))
+    log = spark.range(n).select(
+        F.lit("Rooms").alias("table_name"), F.lit("r").alias("entity_id"), F.lit("Name").alias("property_name"), at.alias("changed_at"),
+        ((F.col("id") + 6) % 7).cast("string").alias("original_value"), (F.col("id") % 7).cast("string").alias("new_value"), F.lit("Update").alias("change_type"),
+    )
+    units, blocks = _blocked(log, transitions(distinct_changes(log)), 64)
+    sizes = [r["count"] for r in units.groupBy("block").count().collect()]
+    assert blocks == 142 and len(sizes) >= 140 and max(sizes) <= 2 * n / 142
+    assert attribute_history(log).count() == n
+    readings = log.select("entity_id", micros("changed_at").alias("at"), "new_value")
+    cut = ordered_blocks(readings, ["entity_id"], "at", ["new_value"], 1_000, 10)[1]
+    assert {r["count"] for r in cut.where("NOT is_margin").groupBy("block").count().collect()} == {1_000} and cut.count() == n + 19 * 20
