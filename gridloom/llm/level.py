@@ -46,7 +46,7 @@ RIX = [(0.0, 1), (0.2, 2), (0.5, 3), (0.8, 4), (1.3, 5), (1.8, 6), (2.4, 7), (3.
 
 
 def _on_scale(x: float, scale: list[tuple[float, float]]) -> float:
-    """The grade on a scale between whose steps it changes evenly, and beyond whose ends as at the nearest one."""
+    """The grade on a scale between whose steps it changes evenly, and beyond whose ends as between the last two."""
     i = min(max(sum(x >= at for at, _ in scale) - 1, 0), len(scale) - 2)
     (a, g), (b, h) = scale[i], scale[i + 1]
     return g + (x - a) * (h - g) / (b - a)

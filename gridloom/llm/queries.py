@@ -81,4 +81,8 @@ SQL: dict[str, str] = {
             ON (a.table_name, a.entity_id) IS DISTINCT FROM (b.table_name, b.entity_id)),
         best AS (SELECT a, b FROM near WHERE c >= 0.70 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
         SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best""",
+    "p7_neighbours": f"""WITH {_VECTORS},
+        near AS (SELECT a.id AS id, b.id AS neighbour, round(list_dot_product(a.v, b.v), 6) AS cosine FROM vectors a JOIN vectors b
+            ON (a.table_name, a.entity_id) IS DISTINCT FROM (b.table_name, b.entity_id))
+        SELECT id, neighbour, cosine FROM near WHERE cosine >= 0.70 QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour) <= 5""",
 }

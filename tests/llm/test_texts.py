@@ -159,7 +159,7 @@ def test_prose_of_all_spellings():
         assert flat(t, "ipynb") in ([], ["["], [t])
 
 
-ENGLISH = dict(cat=1, table=2, make=1, reading=2, operationalisation=7, looked=1, the=1, every=2, science=2, idea=3, area=3, poem=2, quiet=2, being=2, naive=2, rhythm=2, created=3, business=2, museum=3, algorithm=4, association=5, million=2, people=2, houses=2, wanted=2)
+ENGLISH = dict(cat=1, table=2, make=1, reading=2, operationalisation=8, looked=1, the=1, every=2, science=2, idea=3, area=3, poem=2, quiet=2, being=2, naive=2, rhythm=2, created=3, business=2, museum=3, algorithm=4, association=5, million=2, people=2, houses=2, wanted=2)
 GERMAN = dict(Haus=1, lesen=2, Bäume=2, Charakterisierung=6, Museum=3, Familie=4, Energie=3, Quelle=2, Nation=3, neue=2, Studien=3)
 SPANISH = dict(casa=2, día=2, bueno=2, guerra=2, cuaderno=3, poesía=4, muy=1, aéreo=4, país=2, ciencia=2)
 
@@ -174,8 +174,8 @@ def test_published_formulas():
     # One sentence of 10 words, 50 letters, 15 syllables, two words of three syllables, three of over six letters, seven of one syllable.
     at = lambda lang: [round(g, 3) for g in level.grades(10, 50, 15, 2, 3, 7, lang)]
     assert at("en") == [6.01, 12.0, 11.208, 7.12, 10.64]
-    assert at("de") == [6.269, 6.717, 6.775, 7.0]
-    assert at("es") == [4.786, 4.661, 1.893, 7.0] or at("es")[2:] == [1.893, 7.0]
+    assert at("de") == [6.269, 6.717, 6.275, 7.0]
+    assert at("es") == [3.836, 4.162, 1.893, 7.0]
 
 
 def test_bounds_follow_the_labels():
