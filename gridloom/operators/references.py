@@ -1,18 +1,25 @@
 """References to records that are missing, deleted or arrive later (problem 5).
 
-Keys become (prefix, integer). Sorted parent keys of one prefix compress into contiguous runs; a reference
-is matched as of the run that starts at or before it, and is an orphan if it lies beyond that run's end.
+Keys become (space, prefix, integer). The keys of parents and those referred to are sorted together by ranges and numbered
+densely in that order; sorted parents compress into runs of contiguous numbers, which only keys without a parent part. A key
+referred to is matched as of the run that starts at or before it, and is an orphan if it lies beyond that run's end. When
+parents were received is kept beside the runs, by number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import GUID
+from gridloom.runtime import materialize, meet
 
-#: Integers of one prefix that share a bucket: so many bits; a bucket's runs travel together.
-BUCKET_BITS = 8
+KEY = ["space", "prefix", "n"]
 _NUMBERED = r"^(.*?)(0|[1-9][0-9]{0,16})$"
 
 
@@ -33,8 +40,7 @@ def key_parts(key: Column, guids: bool) -> tuple[Column, Column]:
 
 def _keyed(df: DataFrame, space: Column, key: Column, guids: bool, *others: Column) -> DataFrame:
     prefix, n = key_parts(key, guids)
-    out = df.select(space.alias("space"), prefix.alias("prefix"), n.alias("n"), *others)
-    return out.withColumn("bucket", F.shiftright("n", BUCKET_BITS))
+    return df.select(space.alias("space"), prefix.alias("prefix"), n.alias("n"), *others)
 
 
 def parents(df: DataFrame, space: Column, key: Column, guids: bool, received_at: Column | None, deleted: bool = False) -> DataFrame:
@@ -43,37 +49,67 @@ def parents(df: DataFrame, space: Column, key: Column, guids: bool, received_at:
     return _keyed(df.where(key.isNotNull() & space.isNotNull()), space, key, guids, at.alias("received_at"), F.lit(deleted).alias("deleted"))
 
 
-def runs_of_parents(rows: DataFrame) -> DataFrame:
-    """Contiguous runs by bucket: space, prefix, bucket, runs: array of (start, stop, firsts, gone).
+def contiguous_runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last number of each run of contiguous ones, from ascending numbers."""
+    cut = np.nonzero(np.diff(numbers) > 1)[0]
+    if not len(numbers):
+        return numbers, numbers
+    return numbers[np.concatenate(([0], cut + 1))], numbers[np.concatenate((cut, [len(numbers) - 1]))]
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted keys (a parent before the reference to it), each one referred to with what is known of its parent.
 
-    firsts[i] is when the parent start + i was first received (null: there is none, only its deletion) and
-    gone[i] whether its deletion is known. Repeats collapse before the shuffle; a bucket has at most 2^BUCKET_BITS keys.
+    Equal keys lie in one range, so only a batch's last parent is carried on to the next one.
     """
-    place = ["space", "prefix", "bucket"]
-    one = rows.groupBy(*place, "n").agg(F.min("received_at").alias("first"), F.max("deleted").alias("gone"))
-    island = F.col("n") - F.row_number().over(Window.partitionBy(*place).orderBy("n"))
-    item = F.struct("n", "first", "gone")
-    runs = one.withColumn("island", island).groupBy(*place, "island").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    run = F.expr("struct(x[0].n AS start, element_at(x, -1).n AS stop, transform(x, y -> y.first) AS firsts, transform(x, y -> y.gone) AS gone)")
-    return runs.select(*place, run.alias("run")).groupBy(*place).agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    carried: pa.RecordBatch | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if carried is None else [carried, b]).combine_chunks()
+        if not t.num_rows:
+            continue
+        new = np.zeros(t.num_rows, bool)
+        for c in KEY:
+            new[1:] |= pc.not_equal(t[c].slice(1), t[c].slice(0, t.num_rows - 1)).to_numpy(zero_copy_only=False)
+        number = np.cumsum(new)
+        is_ref = t["is_ref"].to_numpy(zero_copy_only=False)
+        parent = np.nonzero(~is_ref)[0]
+        start, stop = contiguous_runs(number[parent])
+        asked = np.nonzero(is_ref)[0]
+        run = np.searchsorted(start, number[asked], side="right") - 1
+        inside = run >= 0
+        inside[inside] = number[asked][inside] <= stop[run[inside]]
+        # A number inside a run is the parent's that was counted last: its place among the parents.
+        place = np.searchsorted(number[parent], number[asked])
+        at = pa.array(np.where(inside, parent[np.minimum(place, max(len(parent) - 1, 0))] if len(parent) else 0, 0), mask=~inside)
+        refs = t.take(pa.array(asked))
+        out = [refs[c].combine_chunks() for c in (*KEY, "group_rows")]
+        yield pa.RecordBatch.from_arrays([*out, t["first"].combine_chunks().take(at), pc.fill_null(t["gone"].combine_chunks().take(at), False)], [*KEY, "group_rows", "first", "gone"])
+        last = t.slice(t.num_rows - 1)
+        carried = None if is_ref[-1] else last.to_batches()[0]
 
 
 def references(df: DataFrame, source_table: str, record_id: Column, space: Column, key: Column, guids: bool, received_at: Column) -> DataFrame:
     """Referring records as keyed rows; copies of one record are one, received when its earliest copy was. A null is no reference."""
     rows = _keyed(df.where(key.isNotNull() & space.isNotNull()), space, key, guids, F.lit(source_table).alias("source_table"), record_id.alias("record_id"), received_at.alias("referred_at"))
-    return rows.groupBy("source_table", "record_id", "space", "prefix", "bucket", "n").agg(F.min("referred_at").alias("referred_at"))
+    return rows.groupBy("source_table", "record_id", *KEY).agg(F.min("referred_at").alias("referred_at"))
 
 
-def check_references(refs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every reference with its ref_state: ok, late, deleted or missing.
+def check_references(refs: DataFrame, there: DataFrame) -> DataFrame:
+    """Every reference with its ref_state: ok, late, deleted or missing; `there` are the parents.
 
-    Columns: source_table, record_id, referred_at, ref_state. The join is on the bucket, whose size is bounded; a
-    bucket that a third of all references point into is split by adaptive execution, as the runs' side is one row.
+    Columns: source_table, record_id, referred_at, ref_state. Repeats of a key collapse before any shuffle, so a key that a third of
+    all references point to is one row of the sorted scan; its references then meet the outcome by broadcast (see `meet`).
     """
-    preceding = F.expr("try_element_at(filter(runs, r -> r.start <= n), -1)")
-    hit = refs.join(runs, ["space", "prefix", "bucket"], "left").withColumn("run", preceding)
-    inside = "run IS NOT NULL AND n <= run.stop"
-    hit = hit.select("source_table", "record_id", "referred_at", F.expr(f"CASE WHEN {inside} THEN run.firsts[int(n - run.start)] END").alias("first"), F.expr(f"coalesce(CASE WHEN {inside} THEN run.gone[int(n - run.start)] END, false)").alias("gone"))
+    refs = materialize(refs, "references")
+    known = there.groupBy(*KEY).agg(F.min("received_at").alias("first"), F.max("deleted").alias("gone"))
+    asked = refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("group_rows"))
+    none = F.lit(None).cast("timestamp_ntz")
+    both = known.select(*KEY, F.lit(False).alias("is_ref"), F.lit(0).cast("bigint").alias("group_rows"), "first", "gone")
+    both = both.unionByName(asked.select(*KEY, F.lit(True).alias("is_ref"), "group_rows", none.alias("first"), F.lit(False).alias("gone")))
+    both = materialize(both, "keys")  # sorting by ranges reads them twice
+    schema = "space string, prefix string, n bigint, group_rows bigint, first timestamp_ntz, gone boolean"
+    outcome = both.repartitionByRange(*KEY).sortWithinPartitions(*KEY, "is_ref").mapInArrow(_scan, schema)
+    hit = meet(refs, outcome, KEY, refs.count())
     state = (
         F.when(F.col("first") > F.col("referred_at"), "late")
         .when(F.col("first").isNotNull(), "ok")

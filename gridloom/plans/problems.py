@@ -12,7 +12,7 @@ from gridloom.operators.changes import ATTRIBUTE
 from gridloom.operators.faults import faulty_readings
 from gridloom.operators.grid import SOURCE, regular_series, usable_readings
 from gridloom.operators.history import attribute_history
-from gridloom.operators.references import check_references, orphans_by_period, parents, references, runs_of_parents
+from gridloom.operators.references import check_references, orphans_by_period, parents, references
 from gridloom.operators.replay import current_values
 from gridloom.runtime import table
 
@@ -63,7 +63,7 @@ def _reference_states(spark: SparkSession, folder: str) -> DataFrame:
         .unionByName(references(t["sysanalyticssteps"], "sysanalyticssteps", key, F.lit("sysAnalytics"), F.col("analytics_id"), True, received))
         .unionByName(references(t["sysembeddings"], "sysembeddings", key, F.col("table_name"), F.col("entity_id"), False, received))
     )
-    return check_references(refs, runs_of_parents(there))
+    return check_references(refs, there)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.text import number
 from gridloom.operators import faults
+from gridloom.operators import references as references_module
 from gridloom.operators.faults import APART, STUCK, faulty_readings
 from gridloom.operators.grid import regular_series, usable_readings
-from gridloom.operators.references import check_references, key_parts, orphans_by_period, parents, references, runs_of_parents
+from gridloom.operators.references import check_references, contiguous_runs, key_parts, orphans_by_period, parents, references
 
 T0 = datetime(2025, 3, 1)
 VALUES = "id string, table_name string, entity_id string, property_name string, reading_value string, reading_timestamp timestamp_ntz, received_at timestamp_ntz"
@@ -167,15 +168,15 @@ def test_references(spark):
     d = spark.createDataFrame(deltas, "id string, base_value_id string, received_at timestamp_ntz")
     e = spark.createDataFrame(emb, "id string, table_name string, entity_id string, received_at timestamp_ntz")
     refs = references(d, "deltas", F.col("id"), F.lit("base"), F.col("base_value_id"), True, F.col("received_at")).unionByName(references(e, "emb", F.col("id"), F.col("table_name"), F.col("entity_id"), False, F.col("received_at")))
-    states = check_references(refs, runs_of_parents(r))
+    states = check_references(refs, r)
     got = {x["record_id"]: x["ref_state"] for x in states.collect()}
     want = {f"d{i}": "missing" if i in (7, 8, 20) or i >= 40 else "late" if i > 10 else "ok" for i in range(45)}
     want |= {"dx": "ok", "dy": "missing", "dz": "late", "e1": "ok", "e2": "deleted", "e3": "ok", "e4": "missing", "e5": "missing", "e6": "missing", "e8": "ok", "e9": "ok", "e10": "missing"}
     assert got == want
     report = orphans_by_period(states).where("source_table = 'emb'").collect()
     assert {(x["ref_state"], x["n"]) for x in report} == {("missing", 4), ("deleted", 1)}
-    assert check_references(refs.limit(0), runs_of_parents(r)).isEmpty()
-    assert {x["ref_state"] for x in check_references(refs, runs_of_parents(r.limit(0))).collect()} == {"missing"}
+    assert check_references(refs.limit(0), r).isEmpty()
+    assert {x["ref_state"] for x in check_references(refs, r.limit(0)).collect()} == {"missing"}
 
 
 def test_key_parts_are_one_to_one(spark):
@@ -184,7 +185,24 @@ def test_key_parts_are_one_to_one(spark):
     assert len({(r[1], r[2]) for r in p}) == len(keys) - 1  # only the guid's two spellings are one
 
 
-def test_runs_are_contiguous(spark):
-    base = spark.createDataFrame([(f"s{i}", T0) for i in [*range(0, 1000), *range(2000, 2100)]], "id string, received_at timestamp_ntz")
-    runs = runs_of_parents(parents(base, F.lit("x"), F.col("id"), False, F.col("received_at")))
-    assert runs.selectExpr("sum(size(runs))").first()[0] == 6  # four full buckets, and a run over one more boundary
+def test_runs_are_contiguous():
+    start, stop = contiguous_runs(np.array([0, 1, 2, 5, 6, 9]))
+    assert start.tolist() == [0, 5, 9] and stop.tolist() == [2, 6, 9]
+    assert contiguous_runs(np.zeros(0, int))[0].tolist() == []
+
+
+def test_batches_of_sorted_keys_end_anywhere():
+    rows = [("s", "p", i, is_ref) for i in range(200) for is_ref in (False, True) if (i % 7 != 3 or is_ref) and (i % 5 != 1 or not is_ref)]
+    t = pa.table({"space": [r[0] for r in rows], "prefix": [r[1] for r in rows], "n": [r[2] for r in rows], "is_ref": [r[3] for r in rows], "group_rows": [1] * len(rows), "first": pa.array([None if r[3] else r[2] for r in rows], pa.int64()), "gone": [False] * len(rows)})
+    want = [(i, None if i % 7 == 3 else i) for i in range(200) if i % 5 != 1]
+    for size in (1, 2, 3, 50, 1000):
+        got = pa.Table.from_batches(list(references_module._scan(iter(t.to_batches(max_chunksize=size)))))
+        assert list(zip(got["n"].to_pylist(), got["first"].to_pylist())) == want
+
+
+def test_only_runs_of_parents_are_found(spark):
+    base = spark.createDataFrame([(f"s{i}", T0) for i in range(50)], "id string, received_at timestamp_ntz")
+    there = parents(base, F.lit("x"), F.col("id"), False, F.col("received_at"))
+    refs = references(base, "t", F.col("id"), F.lit("x"), F.col("id"), False, F.col("received_at"))
+    assert {r["ref_state"] for r in check_references(refs, there).collect()} == {"ok"}
+    assert {r["ref_state"] for r in check_references(refs, there.limit(0)).collect()} == {"missing"}
