@@ -22,6 +22,8 @@ from gridloom.runtime import materialize
 BLOCK_TOKENS, MIN_BLOCKS, MAX_BLOCKS = 20_000, 16, 16_384
 #: Tokens an output shard should hold; there are at most MAX_SHARDS.
 SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4_096
+#: Blocks of all sources, at most: with many sources their blocks get larger.
+MAX_UNITS = 1_000_000
 #: Listed sources, at most; more are refused, as their plan is made on the driver.
 MAX_SOURCES = 10_000
 
@@ -107,7 +109,8 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", total: float
     known = spark.createDataFrame([(w[0],) for w in wishes], "source_name string")
     listed = sized.where("n_tokens > 0").withColumn("source_name", source_key(F.col("source"))).join(F.broadcast(known), "source_name", "left_semi")
     totals = listed.groupBy("source_name").agg(F.sum("n_tokens").alias("tokens"))
-    cuts = totals.select("source_name", F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(MIN_BLOCKS), F.floor(F.col("tokens") / block_tokens))).cast("int").alias("blocks"))
+    most = min(MAX_BLOCKS, max(MIN_BLOCKS, MAX_UNITS // max(len(wishes), 1)))
+    cuts = totals.select("source_name", F.least(F.lit(most), F.greatest(F.lit(MIN_BLOCKS), F.floor(F.col("tokens") / block_tokens))).cast("int").alias("blocks"))
     docs = (
         listed.join(F.broadcast(cuts), "source_name")  # one row per listed source
         .select(key, "source_name", "n_tokens", "blocks", F.xxhash64(F.lit(seed), F.col(key)).alias("order"))
