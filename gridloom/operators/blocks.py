@@ -52,7 +52,7 @@ def ordered_blocks(df: DataFrame, keys: list[str], at: str, ties: list[str], blo
     own, within = F.floor(F.col("place") / block_rows).cast("long"), F.col("place") % block_rows
     here = lambda b, m: F.struct(b.cast("long").alias("block"), F.lit(m).alias("is_margin"))
     spread = F.filter(
-        F.array(here(own, False), F.when((within < margin) & (own > 0), here(own - 1, True)), F.when(within >= block_rows - margin, here(own + 1, True))),
+        F.array(here(own, False), F.when((within < margin) & (own > 0), here(own - 1, True)), F.when((within >= block_rows - margin) & ((own + 1) * block_rows < F.col("group_rows")), here(own + 1, True))),
         lambda x: x.isNotNull(),
     )
     cut = placed.select(*df.columns, F.explode(spread).alias("s")).select(*df.columns, "s.block", "s.is_margin")
