@@ -8,7 +8,7 @@ import regex
 # group of vowels is one syllable, or each one is its own in German but for the diphthongs.
 _ENGLISH = """
     i1a i1o i1u e1o u1a u1o a1o a1e. y1i y1e e1um e1ing o1ing a1ic a1ism
-    ci2a ti2a si2a ci3ate ci3ation ti3ate ti3ation gi2a .gi3ant ri2age ni2age di3am
+    ci2a ti2a si2a ci3at ti3at gi2a .gi3ant ri2age ni2age di3am
     ci2o ti2o si2o gi2o xi2o ni2on li2on .li3on .bi3o di3o ri3o i3ol i3om
     sci3en cli3en qwi3et di3et oci3et ie1ty ri1en di1en ni1en pi1en bi1en li1en vi1en fri4end ri1er di1er ti1er li1er ni1er vi1er fi1er pi1er ki1er si1er i1est ri3et
     soldi2er .pi4er .ti4er ci2en ti2en si2en
@@ -22,7 +22,7 @@ _ENGLISH = """
 """
 _GERMAN = """
     a2i a2u a2y a2a ä2u e2e e2i e2u e2y i2e o2o o2i o2y
-    e3um ä3um e3us. mili3e fili3e lini3e lili3e udi3en ali3en edi3en eri3en ori3en ini3en ili3en ri3en. di3en. ide3en stri3e be3inh be3in. ge3imp ge3and be3urt be3ob ri4e. qu4
+    e3um. e3ums. lä3um. lä3ums. e3us. mili3e fili3e lini3e lili3e udi3en ali3en edi3en eri3en ori3en ini3en ili3en ri3en. di3en. ide3en stri3e be3inh be3in. ge3imp ge3and be3urt be3ob ri4e. qu4
 """
 _SPANISH_STRONG, _SPANISH_WEAK = "aeoáéó", "íú"
 
