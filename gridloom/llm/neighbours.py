@@ -32,7 +32,7 @@ _RANKS = 10_000_000
 
 
 class VantageTree:
-    """A vantage-point tree over unit vectors (float32), searched for many queries at once.
+    """A vantage-point tree over unit vectors, searched for many queries at once: in single precision, and what is kept is measured by the vectors as given.
 
     A node's ball about its vantage point ends at the widest gap between distances if there is one, as about a cluster, else
     at their median. `owner` numbers what a vector belongs to; a query leaves out its own owner's vectors. Vectors are given in
@@ -44,7 +44,7 @@ class VantageTree:
         if len(x) >= _RANKS:
             raise ValueError(f"a tree holds fewer than {_RANKS} vectors")
         self.factor, self.leaf, self.gap, self.compared = factor, leaf, gap, 0
-        self._given = x.astype(np.float32)
+        self.exact, self._given = x, x.astype(np.float32)
         self._rng = np.random.default_rng(seed)
         self._points: list[int] = []
         self._order: list[np.ndarray] = []
@@ -98,13 +98,11 @@ class VantageTree:
         return self._best(q, pos, k, least)
 
     def _best(self, q: np.ndarray, pos: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        place = np.zeros(len(self.at), np.int64)
-        place[self.at] = np.arange(len(self.at))
         sim = np.full(pos.shape, -1.0)
         row, col = np.nonzero(pos >= 0)
         for i in range(0, len(row), 50_000):
             r, c = row[i : i + 50_000], col[i : i + 50_000]
-            sim[r, c] = np.round(np.einsum("ij,ij->i", q[r], unit(self.x[place[pos[r, c]]])), 6)
+            sim[r, c] = np.round(np.einsum("ij,ij->i", q[r], self.exact[pos[r, c]]), 6)
         sim[sim < least] = -1
         order = np.lexsort((np.where(pos < 0, _RANKS, pos), -sim), axis=1)[:, :k]
         pos, sim = np.take_along_axis(pos, order, 1), np.take_along_axis(sim, order, 1)

@@ -177,3 +177,13 @@ def test_tree_alone():
         good = -want >= 0.7
         assert (np.abs(sim - -want)[good] < 2e-6).mean() >= least_hits
         assert (sim[~good] == -1).all() or factor > 1
+
+
+def test_similarities_are_those_of_double_precision():
+    """Vectors in single precision are off by up to 1e-7, so one of some hundred similarities would round otherwise."""
+    x = grouped(12, 60, 30, 0).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    owner = np.arange(len(x))
+    pos, sim = VantageTree(x, owner).search(x, owner, 5, 0.7)
+    row, col = np.nonzero(pos >= 0)
+    assert len(row) > 5000 and (sim[row, col] == np.round(np.einsum("ij,ij->i", x[row], x[pos[row, col]]), 6)).all()
