@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -63,15 +64,15 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a compressed table in the shared folder and read it back.
+def materialize(df: DataFrame, label: str, most_rows: int = 0) -> DataFrame:
+    """Write `df` as a compressed table in the shared folder, in files of `most_rows` rows at most if given, and read it back.
 
     Cuts the lineage and survives the loss of any executor. Takes a Spark job. The table goes with `release` or when
     the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", maxRecordsPerFile=most_rows).parquet(path)
     if not _written:
         atexit.register(_forget, spark)
     _written.append(path)
@@ -88,6 +89,12 @@ def release(df: DataFrame) -> None:
         _written.remove(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of frames that are gone; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

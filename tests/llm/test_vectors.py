@@ -187,3 +187,20 @@ def test_similarities_are_those_of_double_precision():
     pos, sim = VantageTree(x, owner).search(x, owner, 5, 0.7)
     row, col = np.nonzero(pos >= 0)
     assert len(row) > 5000 and (sim[row, col] == np.round(np.einsum("ij,ij->i", x[row], x[pos[row, col]]), 6)).all()
+
+
+def written_by_shuffles(spark, since=-1):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return max([since, *(s.stageId() for s in stages)]), sum(s.shuffleWriteBytes() for s in stages if s.stageId() > since)
+
+
+def test_parts_of_a_group_are_not_shuffled_against_each_other(spark):
+    """Ten parts of one group: the vectors are shuffled a few times, not once for each part."""
+    rows, df = frame(spark, np.random.default_rng(13).normal(size=(3000, 384)).astype(np.float32), table="A")
+    df = df.cache()
+    df.count()
+    last, _ = written_by_shuffles(spark)
+    assert cluster_records(df, max_cell=600).count() == len(rows)
+    assert written_by_shuffles(spark, last)[1] < 5 * len(rows) * 384 * 4
